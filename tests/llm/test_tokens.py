@@ -1,0 +1,107 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from tokenizers import Tokenizer
+
+from nearfield.llm import token_output
+from nearfield.llm.tokens import Encoder, by_bytes, segments, token_counts
+from tests.oracle import DATA
+
+FILE = "byte_bpe_50k.json"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path(FILE))
+
+
+def strange(n=400):
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\t", "\xa0", "　", "\x1c", "\x85", "a", "Word", "12", "é", "字", "'s", "!?", "<|endoftext|>", "​", "\x00", "😀", "   \n"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(n)] + ["", " ", "  ", "\n ", "a " * 50000, "x" * 3000, "a b\xa0 c　 d " * 9000]
+
+
+def test_same_as_library(library):
+    texts = strange()
+    encoder = Encoder(FILE)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    flat, counts = encoder.ids(pa.array(texts))
+    assert counts.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [i for w in want for i in w]
+
+
+def test_memory_of_pieces_starts_anew(library, monkeypatch):
+    monkeypatch.setattr("nearfield.llm.tokens.MOST_PIECES", 5)
+    encoder = Encoder(FILE)
+    for t in strange(40):
+        assert encoder.counts(pa.array([t])).tolist() == [len(library.encode(t, add_special_tokens=False).ids)]
+
+
+def test_segments_and_balance():
+    text = "some words, here " * 9000
+    assert "".join(segments(text, 100)) == text and max(map(len, segments(text, 100))) < 140
+    assert segments("x" * 500, 100) == ["x" * 500]
+    sizes = np.array([3, 3, 3, 50, 1, 1])
+    assert by_bytes(sizes, 6) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert by_bytes(np.array([], int)) == []
+
+
+def test_counts_over_the_table(spark, library):
+    table = pq.read_table(f"{DATA}/sf0.001/documents.parquet")
+    want = {i: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")).collect()}
+    assert got == want
+
+
+def test_null_and_empty(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "a b", "z")], "doc_id long, text string, n_tokens string")
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts(rows).collect()) == [(1, 0), (2, 0), (2, 2)]
+    assert token_counts(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("source", ["table", "strange", "empty"])
+def test_output_roundtrip(spark, library, tmp_path, source):
+    if source == "table":
+        docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    else:
+        rows = [(i, t) for i, t in enumerate(strange(60))] + [(900, None), (900, "again")]
+        docs = spark.createDataFrame(rows if source == "strange" else [], "doc_id long, text string")
+    path = f"{tmp_path}/ids"
+    token_output.write_tokens(docs.repartition(5), path, row_group_bytes=1 << 16, page_bytes=1 << 12)
+    got = [tuple(r) for r in token_output.token_digests(spark, path).orderBy("doc_id", "start").collect()]
+    want, at = [], 0
+    for doc_id, text in sorted(((r.doc_id, r.text or "") for r in docs.collect())):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_file_format(spark, tmp_path):
+    path = f"{tmp_path}/ids"
+    token_output.write_tokens(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), path, row_group_bytes=1 << 18, page_bytes=1 << 14)
+    files = [pq.ParquetFile(f) for f in sorted(tmp_path.glob("ids/*.parquet"))]
+    last = -1
+    groups = 0
+    for f in files:
+        for g in range(f.metadata.num_row_groups):
+            groups += 1
+            cols = {f.metadata.row_group(g).column(c).path_in_schema: f.metadata.row_group(g).column(c) for c in range(f.metadata.num_columns)}
+            ids = cols["ids.list.element"]
+            assert "DELTA_BINARY_PACKED" in ids.encodings and ids.has_offset_index
+            assert cols["doc_id"].has_column_index
+            assert cols["doc_id"].statistics.min > last
+            last = cols["doc_id"].statistics.max
+    assert groups > 2
+    picked = token_output.read_tokens(spark, path, "doc_id = 17")
+    assert picked.count() == 1
+    plan = picked._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,17)" in plan
+    lengths = token_output.read_tokens(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in lengths.split("ReadSchema")[1].split("\n")[0]
