@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     texts = docs.join(member, "doc_id")
     links = texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, bands, percent), "u long, v long")
     found = components(links)
-    named = full.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("k1", "k2", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    named = full.join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontaminate, mixing, near_dedup, token_output, tokens
+from nearfield.llm import chat, decontaminate, mixing, near_dedup, quality, suffix_dedup, token_output, tokens, toxicity, winnow
 from nearfield.llm.spark import shared_folder
 
 
@@ -22,22 +22,44 @@ def op2_token_counts(spark, d):
     return tokens.token_counts(_documents(spark, d))
 
 
+def op3_quality_rules(spark, d):
+    return quality.scored(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def op4_suffix_array_dedup(spark, d):
+    return suffix_dedup.repeated_passages(_documents(spark, d)).drop("spans")
+
+
+def op5_chat_formatting(spark, d):
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op6_token_output(spark, d):
     path = shared_folder(spark)
     token_output.write_tokens(_documents(spark, d), path)
     return token_output.token_digests(spark, path)
 
 
+def op7_toxicity(spark, d):
+    return toxicity.scored(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op8_source_mixing(spark, d):
     return mixing.mixed(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+def op9_winnowing(spark, d):
+    return winnow.edited_fingerprints(_documents(spark, d))
+
+
 def op10_benchmark_decontamination(spark, d):
     return decontaminate.contained_items(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op6_token_output, op8_source_mixing, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_quality_rules, op4_suffix_array_dedup, op5_chat_formatting, op6_token_output, op7_toxicity, op8_source_mixing, op9_winnowing, op10_benchmark_decontamination)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,5 +83,13 @@ both_ AS (SELECT a.id AS d, b.id AS i, count(*) AS c FROM shingles a JOIN shingl
 SELECT d // 2 AS doc_id, i // 2 AS item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment FROM both_ JOIN sizes ON id = i WHERE 100 * c >= 80 * n"""
 
 
+OP5 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<#:\n]', '', 'g')) + 14 AS size FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op10_benchmark_decontamination": OP10}
+    return {"op1_minhash_near_dedup": OP1, "op5_chat_formatting": OP5, "op10_benchmark_decontamination": OP10}
