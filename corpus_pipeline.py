@@ -44,9 +44,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target asks for, from 0 to 3."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    rows = mixing.mixed(docs, keep=rest).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    taken = mixing.mixed(rows, keep=("row",)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
