@@ -21,16 +21,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.spark import bounded_batches
-from nearfield.llm.tokens import DEFAULT_FILE, Encoder, by_bytes
+from nearfield.llm.tokens import DEFAULT_FILE, by_bytes, encoder_for
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
+#: Up to so many files their starts (16 bytes each) are broadcast; beyond, they are joined like any table.
+MOST_BROADCAST_FILES = 100_000
 
 
 def _encode(file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = Encoder(file), 0, TaskContext.get().partitionId()
+        encoder, at, part = encoder_for(file), 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in by_bytes(pc.binary_length(texts).to_numpy().astype(np.int64)):
@@ -72,7 +74,10 @@ def read_tokens(spark: SparkSession, path: str, where=None) -> DataFrame:
     rows = spark.read.parquet(path)
     if where is not None:
         rows = rows.where(where)
-    return rows.join(starts(spark, path), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    bases = starts(spark, path)
+    if bases.count() <= MOST_BROADCAST_FILES:
+        bases = F.broadcast(bases)
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

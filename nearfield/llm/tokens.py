@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,12 +24,17 @@ from pyspark.sql import functions as F
 from nearfield.llm.spark import bounded_batches
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-BATCH_BYTES = 4 << 20
-#: The memory of pieces starts anew beyond so many pieces, ids or characters.
-MOST_PIECES, MOST_IDS, MOST_CHARS = 400_000, 8_000_000, 16_000_000
+BATCH_BYTES = 8 << 20
+#: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
+MOST_PIECES, MOST_IDS, MOST_CHARS = 500_000, 8_000_000, 16_000_000
 SEGMENT = 1 << 16
 #: White space, or what some tables take for it, before a space.
 UNSAFE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}] "
+#: A piece that is one word, maybe after a line end and before ASCII marks that start neither a contraction nor a special string: pre-tokens that are known without the library's splitter.
+WORD = r"^(?P<line>\n?)(?P<word> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=?@\[-`{}~]*)$"
+#: A line end between characters that are no white space may be cut before it; it is then written as a space and LINE.
+LINE = "\x01"
+SINGLE_LINE_END = r"([^\x{01}\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}])\n([!-~])"
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) ")
 
 
@@ -45,62 +51,114 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
+def byte_characters() -> list[str]:
+    """Byte-level BPE's printable stand-in for each byte: printable bytes are themselves, the others follow from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(rest)) for b in range(0x100)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(file: str) -> Encoder:
+    """One encoder for each Python worker, so that its memory of pieces serves all tasks that the worker runs."""
+    if file not in _ENCODERS:
+        _ENCODERS[file] = Encoder(file)
+    return _ENCODERS[file]
+
+
 class Encoder:
+    """Token ids by way of distinct pre-tokens: what a piece consists of is found in bulk, and each pre-token goes to the library's BPE model once."""
+
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(file))
+        self.stand_ins = dict(enumerate(byte_characters()))
         self._forget()
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
         self.lengths, self.starts, self.flat, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        for p in pieces:
-            self.rows[p] = len(self.rows)
-            self.chars += len(p)
+    def _learn(self, keys: list[str], got: list[list[int]]) -> None:
+        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
+        self.chars += sum(map(len, keys))
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *got])
-
-    def _rows(self, pieces: list[str]) -> np.ndarray:
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.rows]:
-            self._learn(new)
-        return np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+
+    def _pretokens(self, texts: list[str]) -> np.ndarray:
+        """Rows of distinct pre-tokens, none of which holds a NUL."""
+        new = [t for t in texts if t not in self.rows]
+        if new:
+            tokenize = self.library.model.tokenize
+            shown = "\0".join(new).encode().decode("latin-1").translate(self.stand_ins | {0: "\0"}).split("\0")
+            self._learn(new, [[t.id for t in tokenize(x)] for x in shown])
+        return np.fromiter(map(self.rows.__getitem__, texts), np.int64, len(texts))
+
+    def _others(self, pieces: list[str]) -> np.ndarray:
+        """Rows of pieces that the library splits itself. Their keys start with NUL, apart from pre-tokens."""
+        new = [p for p in dict.fromkeys(pieces) if "\0" + p not in self.rows]
+        if new:
+            self._learn(["\0" + p for p in new], [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        return np.fromiter((self.rows["\0" + p] for p in pieces), np.int64, len(pieces))
+
+    def _parts(self, pieces: pa.Array) -> np.ndarray:
+        """For each distinct piece the rows of its line end, word and marks; -1: it has none."""
+        out = np.full((len(pieces), 3), -1)
+        found = pc.extract_regex(pieces, WORD)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(known)
+        if len(at):
+            found = found.take(pa.array(at))
+            for i, name in enumerate(("line", "word", "marks")):
+                coded = found.field(name).dictionary_encode()
+                values = coded.dictionary.to_pylist()
+                rows = np.full(len(values), -1)
+                there = [j for j, v in enumerate(values) if v]
+                rows[there] = self._pretokens([values[j] for j in there])
+                out[at, i] = rows[coded.indices.to_numpy()]
+        rest = np.flatnonzero(~known)
+        out[rest, 1] = self._others(pieces.take(pa.array(rest)).to_pylist())
+        return out
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece its row in memory, and where each text's pieces start."""
+        """Rows of all the texts' pre-tokens, and how many each text has."""
         if len(self.rows) > MOST_PIECES or len(self.flat) > MOST_IDS or self.chars > MOST_CHARS:
             self._forget()
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, SINGLE_LINE_END, rf"\1 {LINE}\2"), " ")
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        first = np.cumsum(sizes) - sizes
         values = lists.flatten()
-        starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].astype(np.int64)
         coded = values.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        spaced = self._rows([" " + p for p in coded.dictionary.to_pylist()])
-        rows = spaced[coded.indices.to_numpy()]
-        rows[starts[:-1]] = self._rows(values.take(pa.array(starts[:-1])).to_pylist())
-        return rows, starts
+        kinds = coded.dictionary
+        spaced = pc.replace_substring_regex(pc.binary_join_element_wise("", kinds, " "), f"^ {LINE}", "\n")
+        parts = self._parts(spaced)[coded.indices.to_numpy()]
+        parts[first] = [-1, -1, -1]
+        starts = values.take(pa.array(first)).dictionary_encode()
+        parts[first, 1] = self._others(starts.dictionary.to_pylist())[starts.indices.to_numpy()]
+        there = parts >= 0
+        return parts[there], np.add.reduceat(there.sum(axis=1), first)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(segments(text), add_special_tokens=False)])
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring_regex(texts, UNSAFE), pc.match_substring(texts, LINE)).to_numpy(zero_copy_only=False)
         return np.flatnonzero(~odd), np.flatnonzero(odd)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         plain, odd = self._split(texts)
         if len(plain):
-            rows, starts = self._pieces(texts.take(pa.array(plain)))
-            out[plain] = np.add.reduceat(self.lengths[rows], starts[:-1])
+            rows, sizes = self._pieces(texts.take(pa.array(plain)))
+            total = np.r_[0, np.cumsum(self.lengths[rows])]
+            ends = np.cumsum(sizes)
+            out[plain] = total[ends] - total[ends - sizes]
         for i in odd:
             out[i] = len(self._whole(texts[i].as_py()))
         return out
@@ -108,15 +166,16 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each text's count."""
         plain, odd = self._split(texts)
-        counts, flat = np.zeros(len(texts), np.int64), None
+        counts, flat = np.zeros(len(texts), np.int64), np.empty(0, np.uint32)
         if len(plain):
-            rows, starts = self._pieces(texts.take(pa.array(plain)))
+            rows, sizes = self._pieces(texts.take(pa.array(plain)))
             lengths = self.lengths[rows]
-            total = np.cumsum(lengths)
-            flat = self.flat[np.repeat(self.starts[rows] - (total - lengths), lengths) + np.arange(total[-1])]
-            counts[plain] = np.add.reduceat(lengths, starts[:-1])
+            total = np.r_[0, np.cumsum(lengths)]
+            flat = self.flat[np.repeat(self.starts[rows] - total[:-1], lengths) + np.arange(total[-1])]
+            ends = np.cumsum(sizes)
+            counts[plain] = total[ends] - total[ends - sizes]
         if not len(odd):
-            return flat if flat is not None else np.empty(0, np.uint32), counts
+            return flat, counts
         ends = np.cumsum(counts)
         parts = {i: self._whole(texts[i].as_py()) for i in odd.tolist()}
         pieces = [parts[i] if i in parts else flat[ends[i] - counts[i] : ends[i]] for i in range(len(texts))]
@@ -127,14 +186,16 @@ class Encoder:
 
 def by_bytes(sizes: np.ndarray, most: int = BATCH_BYTES) -> list[tuple[int, int]]:
     """Runs of rows of about that many bytes."""
+    if not len(sizes):
+        return []
     block = (np.cumsum(sizes) - sizes) // most
-    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(sizes) else np.empty(0, int)
+    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True))
 
 
 def _count(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = encoder_for(file)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             sizes = pc.binary_length(texts).to_numpy().astype(np.int64)

@@ -22,8 +22,8 @@ def library():
 
 def strange(n=400):
     rng = random.Random(3)
-    bits = [" ", "  ", "\n", "\t", "\xa0", "　", "\x1c", "\x85", "a", "Word", "12", "é", "字", "'s", "!?", "<|endoftext|>", "​", "\x00", "😀", "   \n"]
-    return ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(n)] + ["", " ", "  ", "\n ", "a " * 50000, "x" * 3000, "a b\xa0 c　 d " * 9000]
+    bits = [" ", "  ", "\n", "\t", "\xa0", "　", "\x1c", "\x85", "a", "Word", "12", "é", "字", "'s", "!?", "it's", "a!'s", "%%%", "###,", "x<|endoftext|>y", "(b)", "c]'d", "<|endoftext|>", "​", "\x00", "😀", "   \n"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(n)] + ["", " ", "  ", "\n ", "a " * 50000, "x" * 3000, "one.\ntwo\nthree, four\n\nfive \n six\n", "a\n\x01b c", "\x01a\nb", "a b\xa0 c　 d " * 9000]
 
 
 def test_same_as_library(library):
