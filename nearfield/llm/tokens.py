@@ -26,7 +26,7 @@ from nearfield.llm.spark import bounded_batches
 DEFAULT_FILE = "byte_bpe_50k.json"
 BATCH_BYTES = 8 << 20
 #: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
-MOST_PIECES, MOST_IDS, MOST_CHARS = 500_000, 8_000_000, 16_000_000
+MOST_PIECES, MOST_IDS, MOST_CHARS = 1_000_000, 8_000_000, 16_000_000
 SEGMENT = 1 << 16
 #: White space, or what some tables take for it, before a space.
 UNSAFE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}] "
@@ -80,11 +80,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows: dict[str, int] = {"": -1}
         self.lengths, self.starts, self.flat, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), 0
 
     def _learn(self, keys: list[str], got: list[list[int]]) -> None:
-        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
+        self.rows.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(keys)), strict=True))
         self.chars += sum(map(len, keys))
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
@@ -92,7 +92,7 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
 
     def _pretokens(self, texts: list[str]) -> np.ndarray:
-        """Rows of distinct pre-tokens, none of which holds a NUL."""
+        """Rows of distinct pre-tokens, none of which holds a NUL; the empty one has no row."""
         new = [t for t in texts if t not in self.rows]
         if new:
             tokenize = self.library.model.tokenize
@@ -117,10 +117,7 @@ class Encoder:
             found = found.take(pa.array(at))
             for i, name in enumerate(("line", "word", "marks")):
                 coded = found.field(name).dictionary_encode()
-                values = coded.dictionary.to_pylist()
-                rows = np.full(len(values), -1)
-                there = [j for j, v in enumerate(values) if v]
-                rows[there] = self._pretokens([values[j] for j in there])
+                rows = self._pretokens(coded.dictionary.to_pylist())
                 out[at, i] = rows[coded.indices.to_numpy()]
         rest = np.flatnonzero(~known)
         out[rest, 1] = self._others(pieces.take(pa.array(rest)).to_pylist())
