@@ -5,7 +5,7 @@ Each class has its own counts of the highest order; what it has rarely or never
 text may be toxic in one place, the strongest window of WINDOW bytes and the share of strongly toxic bytes count too. Logistic
 weights turn evidence into a score; they are fitted on labelled rows that gave no counts, so that they see it as new text has it.
 
-Scale: counts are summed in the tasks before they are shuffled, and cover all labelled training rows. The model is one table of
+Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts are summed in the tasks before they are shuffled, and cover all labelled training rows. The model is one table of
 n-grams; it grows with them, up to MOST_GRAMS (checked), beyond which the rarest n-grams are left to the shared counts, so what goes
 to the tasks is bounded. Scoring is one pass without a shuffle, over whole texts, in pieces of CHUNK bytes.
 
@@ -213,7 +213,7 @@ KINDS = "mean_evidence double, top_window double, strong_share double"
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, float]:
     """The model from training folds 2 to 4, the rows of fold 1 for the logistic weights, and the share of toxic labels. Fold 0 is never read."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    known = docs.select("doc_id", "text").join(marked, "doc_id").withColumn("fold", fold()).where("fold <> 0")
+    known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0")
     n = marked.withColumn("fold", fold()).where("fold <> 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     counted = known.where("fold <> 1").select("text", "toxic").mapInArrow(_count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     counted = stored(counted)
