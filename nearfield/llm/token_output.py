@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.spark import bounded_batches
-from nearfield.llm.tokens import DEFAULT_FILE, by_bytes, encoder_for
+from nearfield.llm.tokens import DEFAULT_FILE, balanced, encoder_for
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 8 << 20
@@ -33,17 +33,14 @@ MOST_BROADCAST_FILES = 100_000
 def _encode(file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = encoder_for(file), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            for a, b in by_bytes(pc.binary_length(texts).to_numpy().astype(np.int64)):
-                flat, counts = encoder.ids(texts.slice(a, b - a))
-                ends = np.cumsum(counts)
-                full = np.insert(flat, ends, end_id).astype(np.int32)
-                counts += 1
-                ends = np.cumsum(counts)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(full))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(at + ends - counts), pa.array(counts), lists], names=["doc_id", "part", "at", "n_tokens", "ids"])
-                at += int(ends[-1])
+        for batch in balanced(batches):
+            flat, counts = encoder.ids(batch.column("text"))
+            full = np.insert(flat, np.cumsum(counts), end_id).astype(np.int32)
+            counts += 1
+            ends = np.cumsum(counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(full))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at + ends - counts), pa.array(counts), lists], names=["doc_id", "part", "at", "n_tokens", "ids"])
+            at += int(ends[-1])
 
     return run
 

@@ -152,7 +152,7 @@ class Encoder:
         out = np.zeros(len(texts), np.int64)
         plain, odd = self._split(texts)
         if len(plain):
-            rows, sizes = self._pieces(texts.take(pa.array(plain)))
+            rows, sizes = self._pieces(texts.take(pa.array(plain)) if len(odd) else texts)
             total = np.r_[0, np.cumsum(self.lengths[rows])]
             ends = np.cumsum(sizes)
             out[plain] = total[ends] - total[ends - sizes]
@@ -165,7 +165,7 @@ class Encoder:
         plain, odd = self._split(texts)
         counts, flat = np.zeros(len(texts), np.int64), np.empty(0, np.uint32)
         if len(plain):
-            rows, sizes = self._pieces(texts.take(pa.array(plain)))
+            rows, sizes = self._pieces(texts.take(pa.array(plain)) if len(odd) else texts)
             lengths = self.lengths[rows]
             total = np.r_[0, np.cumsum(lengths)]
             flat = self.flat[np.repeat(self.starts[rows] - total[:-1], lengths) + np.arange(total[-1])]
@@ -190,14 +190,33 @@ def by_bytes(sizes: np.ndarray, most: int = BATCH_BYTES) -> list[tuple[int, int]
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True))
 
 
+def balanced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order in batches of about BATCH_BYTES of text, cut or joined; null texts become empty."""
+    most, held, size = most or BATCH_BYTES, [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, "text", pc.fill_null(batch.column("text"), ""))
+        sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+        for a, b in by_bytes(sizes, most):
+            held.append(batch.slice(a, b - a))
+            size += int(sizes[a:b].sum())
+            if size >= most:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
 def _count(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(file)
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
-            counts = [encoder.counts(texts.slice(a, b - a)) for a, b in by_bytes(sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
+        for batch in balanced(batches):
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(encoder.counts(texts))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
