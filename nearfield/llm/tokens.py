@@ -26,7 +26,7 @@ from nearfield.llm.spark import bounded_batches
 DEFAULT_FILE = "byte_bpe_50k.json"
 BATCH_BYTES = 8 << 20
 #: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
-MOST_PIECES, MOST_IDS, MOST_CHARS = 1_000_000, 8_000_000, 16_000_000
+MOST_PIECES, MOST_IDS, MOST_CHARS = 700_000, 8_000_000, 16_000_000
 SEGMENT = 1 << 16
 #: White space, or what some tables take for it, before a space.
 UNSAFE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}] "

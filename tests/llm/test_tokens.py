@@ -50,7 +50,7 @@ def test_segments_and_balance():
     sizes = np.array([3, 3, 3, 50, 1, 1])
     assert by_bytes(sizes, 6) == [(0, 2), (2, 4), (4, 5), (5, 6)]
     assert by_bytes(np.array([], int)) == []
-    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(t))), "text": t}) for t in (["aa", None], [], ["b" * 30], ["c"] * 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], names=["doc_id", "text"]) for t in (["aa", None], [], ["b" * 30], ["c"] * 9)]
     out = list(balanced(iter(batches), 8))
     assert [x for b in out for x in b.column("text").to_pylist()] == ["aa", "", "b" * 30, *"c" * 9]
     assert [b.num_rows for b in out] == [3, 8, 1]
