@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000
 BYTES_PER_BATCH = 16 << 20
+#: A key with more than one in so many of all rows is joined in parts.
+HOT_GROUPS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -45,6 +47,21 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread_by: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of stored rows with groups, one row a key, whose column n tells how many rows have the key; n is dropped.
+
+    A key with more than 1 / HOT_GROUPS of the rows is dealt out in parts by the columns spread_by, so that no task reads it all. Such
+    keys are found in sizes (groups, unless they are costly to read twice). As sizes add up to the rows, fewer than HOT_GROUPS keys
+    are hot, which bounds what is broadcast. Groups meet rows in a merge join at every size.
+    """
+    most = max(1, rows.count() // HOT_GROUPS)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = (groups if sizes is None else sizes).where(F.col("n") > most).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    each = groups.withColumn("_part", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(each.hint("merge"), [*on, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge (u, v), by alternating large and small stars.
 

@@ -14,8 +14,9 @@ and joins the family as a new level; levels of about equal size are merged, so s
 of times. Levels end with the core they belong to, as no other core can match them.
 
 Scale: the corpus is never gathered. Segments are rows of fixed width, one for every 140 to 200 bytes; counts come first, and text is fetched again only
-for one segment of each kind that may match in part. Copies are therefore one segment each. A core shared by very many documents with different surroundings
-stays in one task, at about 90 bytes a block, in levels.
+for one segment of each kind that may match in part. Copies are therefore one segment each. A task holds a core's blocks in levels, at about
+1,500 bytes a block. An anchor string with more than BUSY_KINDS different segments could make that too much, so windows of such segments are told apart one by
+one instead: counted with map-side sums, and those that repeat are joined in parts. Joins on an anchor string or kind that very many segments have are dealt out too.
 
 Nulls: a null text is an empty document, a null doc_id is a value like others. Repeated rows repeat each other. Very long documents are taken in chunks of windows.
 An empty table gives no rows. Other columns are not read.
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches, discard, stored
+from nearfield.llm.spark import bounded_batches, discard, spread_join, stored
 
 LENGTH, GRAM, STEP = 400, 16, 32
 CHUNK_WINDOWS = 1 << 20
 PLACE_BITS = np.uint64((1 << 21) - 1)
 #: Blocks of a batch.
 BATCH_BLOCKS = 20_000
+#: An anchor string with more kinds of segments than this is busy. At most MOST_BUSY can be: the bound grows where there are more.
+BUSY_KINDS, MOST_BUSY = 50_000, 100_000
 SIGN = 1 << 63
 
 
@@ -82,7 +85,7 @@ SEGMENT = "key long, content long, doc_id long, row_hash long, first int, window
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
@@ -99,7 +102,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(list(zip(*out, strict=True)), SEGMENT)
 
 
-BLOCK = "core long, around binary, low int, high int, base int, key long, content long"
+BLOCK = "core long, around binary, low int, high int, base int, key long, content long, busy boolean"
 
 
 def blocks(data: bytes, key: int, first: int, windows: int, left: int) -> Iterator[tuple[int, bytes, int, int, int]]:
@@ -119,7 +122,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, kinds in zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
             data = text.encode()
             for k in kinds:
-                out.extend((*b, k["key"], k["content"]) for b in blocks(data, k["key"], k["first"], k["windows"], k["left"]))
+                out.extend((*b, k["key"], k["content"], k["busy"]) for b in blocks(data, k["key"], k["first"], k["windows"], k["left"]))
             if len(out) > 20_000:
                 yield _batch(list(zip(*out, strict=True)), BLOCK)
                 out = []
@@ -293,24 +296,45 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, span)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _busy_marks(blocks: DataFrame) -> DataFrame:
+    """MARK rows of the windows that occur in more than one of the stored blocks, however many blocks share a core."""
+    cores = stored(blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = stored(spread_join(blocks, cores, ["core"], ["key", "content", "base"]))
+    window = F.explode(F.sequence("low", "high"))
+    windows = shared.select("core", "around", "key", "content", "base", window.alias("at"))
+    start = F.col("base") + F.col("at")
+    windows = windows.select(F.xxhash64("core", "at", F.substring("around", F.col("at") + 1, F.lit(STEP - 1))).alias("window"), "key", "content", start.alias("start"), (start + LENGTH).alias("end"))
+    again = stored(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return spread_join(windows, again, ["window"], ["key", "content", "start"]).select("key", "content", "start", "end")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of docs; spans are the removed runs of bytes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", F.xxhash64("doc_id", "text"))
     found = stored(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_segments, SEGMENT))
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").select("key", "mixed")
-    shared = stored(found.join(keys, "key"))
+    keys = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1"))
+    shared = stored(spread_join(found, keys, ["key"], ["doc_id", "row_hash", "first"]))
     kinds = shared.where("mixed").groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_hash", "first", "windows", "left")).alias("r"))
     kinds = stored(kinds)
-    by_doc = kinds.select("r.doc_id", "r.row_hash", F.struct("key", "content", "r.first", "r.windows", "r.left").alias("k")).groupBy("doc_id", "row_hash").agg(F.collect_list("k").alias("kinds"))
+    most = max(BUSY_KINDS, kinds.count() // MOST_BUSY)
+    busy = stored(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > most).select("key", F.lit(True).alias("busy")))  # MOST_BUSY rows at most
+    any_busy = not busy.isEmpty()
+    marked = kinds.join(F.broadcast(busy), "key", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+    by_doc = marked.select("r.doc_id", "r.row_hash", F.struct("key", "content", "r.first", "r.windows", "r.left", "busy").alias("k")).groupBy("doc_id", "row_hash").agg(F.collect_list("k").alias("kinds"))
     of = by_doc.withColumnsRenamed({"doc_id": "of_id", "row_hash": "of_hash"})
     texts = docs.join(of, F.equal_null("doc_id", "of_id") & (F.col("row_hash") == F.col("of_hash"))).select("text", "kinds")
-    marks = texts.mapInArrow(_blocks, BLOCK).repartition("core").sortWithinPartitions("core").mapInArrow(_match, MARK)
+    cut = texts.mapInArrow(_blocks, BLOCK)
+    if any_busy:
+        cut = stored(cut)
+    marks = cut.where("NOT busy").repartition("core").sortWithinPartitions("core").mapInArrow(_match, MARK)
+    if any_busy:
+        marks = marks.unionByName(_busy_marks(stored(cut.where("busy"))))
     marks = marks.groupBy("key", "content").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + LENGTH - 1).alias("end")))
-    part = kinds.select("key", "content", "n").join(marks, ["key", "content"], "left").where("n > 1 OR marks IS NOT NULL").select("key", "content", F.col("n") > 1, "marks").toDF("key", "content", "copied", "marks")
-    mixed = shared.where("mixed").join(part, ["key", "content"]).select("doc_id", "row_hash", "first", F.when(F.col("copied"), whole).otherwise(F.col("marks")).alias("marks"))
+    part = kinds.select("key", "content", "n").join(marks, ["key", "content"], "left").where("n > 1 OR marks IS NOT NULL").withColumn("copied", F.col("n") > 1)
+    mixed = spread_join(shared.where("mixed"), part, ["key", "content"], ["doc_id", "row_hash", "first"], kinds).select("doc_id", "row_hash", "first", F.when(F.col("copied"), whole).otherwise(F.col("marks")).alias("marks"))
     plain = shared.where("NOT mixed").select("doc_id", "row_hash", "first", whole.alias("marks"))
     spans = mixed.unionByName(plain).select("doc_id", "row_hash", F.explode(F.transform("marks", lambda m: F.struct((F.col("first") + m["start"]).alias("start"), (F.col("first") + m["end"]).alias("end")))).alias("span"))
     spans = stored(spans.groupBy("doc_id", "row_hash").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "of_id", "row_hash": "of_hash"}))

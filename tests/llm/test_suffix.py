@@ -44,14 +44,19 @@ def made(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_matches_brute_force(spark, monkeypatch, seed):
     if seed > 1:
         monkeypatch.setattr(S, "BATCH_BLOCKS", 7 * seed)
         monkeypatch.setattr(S, "CHUNK_WINDOWS", 150)
+    busy, real = [], S._busy_marks
+    if seed > 2:
+        monkeypatch.setattr(S, "BUSY_KINDS", 2)
+        monkeypatch.setattr(S, "_busy_marks", lambda blocks: busy.append(blocks.count()) or real(blocks))
     docs = made(seed)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert got(S.repeated_passages(frame)) == brute(docs)
+    assert seed <= 2 or busy[0] > 0
 
 
 def test_whole_table(spark):
