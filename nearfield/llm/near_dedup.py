@@ -12,6 +12,7 @@ sample estimate lies six standard deviations under the threshold.
 Scale: one pass over the texts gives 16-byte set keys and bands. Copies of a set are folded before anything is joined. A bucket is
 dealt out in blocks of about BLOCK classes, and two blocks meet in one task, so no bucket, however large, is gathered; buckets with
 the same members are taken once, and a pair is looked at in its first shared band only. Texts move once, and again for classes in a bucket.
+A class of very many copies learns its component in parts.
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id is dropped. Repeated doc_ids: each row is kept, and
 components name ids. Other columns are not read. An empty table gives an empty result.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches, components, stored
+from nearfield.llm.spark import bounded_batches, components, spread_join, stored
 from nearfield.llm.text import Shingler, common, odd_numbers
 
 ROWS_PER_BAND = 4
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     bands = bands_for(percent / 100)
     signed = stored(docs.mapInArrow(_digest(shingle_words, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     full = signed.where("n_shingles > 0")
-    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
     dealt = classes.select("rep", F.posexplode("bands").alias("band", "bkey")).withColumn("bkey", F.xxhash64("band", "bkey"))
     buckets = dealt.groupBy("bkey").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum((F.xxhash64("rep", F.lit(1)) % 1000003).cast("long")).alias("check"), F.min("band").alias("band")).where("n > 1")
     first = buckets.groupBy("n", "members", "check").agg(F.min(F.struct("band", "bkey")).alias("b")).select("n", "b.bkey")
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     texts = docs.join(member, "doc_id")
     links = texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, bands, percent), "u long, v long")
     found = components(links)
-    named = classes.select("k1", "k2", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    named = full.join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    named = classes.select("k1", "k2", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
+    named = spread_join(full, named, ["k1", "k2"], ["doc_id"], classes).select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
