@@ -66,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge (u, v), by alternating large and small stars.
 
     Rounds grow with the logarithm of a component's diameter. Each round is aggregated and joined on nodes, with minima taken
-    before rows move, and is stored; nothing but two numbers reaches the driver.
+    before rows move and the links of large hubs joined in parts, and is stored; nothing but two numbers reaches the driver.
     """
     proper = F.col("u") != F.col("v")
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(proper).distinct())
@@ -77,11 +77,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(proper).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(proper).distinct()
         large = stored(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, ["u"], ["v"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = stored(small.where(proper).distinct())
         discard(now, large)
         now = after
