@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.spark import bounded_batches
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
 MOST_PIECES, MOST_IDS, MOST_CHARS = 700_000, 8_000_000, 16_000_000
 SEGMENT = 1 << 16
@@ -81,13 +81,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {"": -1}
-        self.lengths, self.starts, self.flat, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), 0
+        self.lengths, self.starts, self.flat, self.chars = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32), 0
 
     def _learn(self, keys: list[str], got: list[list[int]]) -> None:
         self.rows.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(keys)), strict=True))
         self.chars += sum(map(len, keys))
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        lengths = np.fromiter(map(len, got), np.int32, len(got))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths, dtype=np.int32) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
 
@@ -98,18 +98,18 @@ class Encoder:
             tokenize = self.library.model.tokenize
             shown = "\0".join(new).encode().decode("latin-1").translate(self.stand_ins | {0: "\0"}).split("\0")
             self._learn(new, [[t.id for t in tokenize(x)] for x in shown])
-        return np.fromiter(map(self.rows.__getitem__, texts), np.int64, len(texts))
+        return np.fromiter(map(self.rows.__getitem__, texts), np.int32, len(texts))
 
     def _others(self, pieces: list[str]) -> np.ndarray:
         """Rows of pieces that the library splits itself. Their keys start with NUL, apart from pre-tokens."""
         new = [p for p in dict.fromkeys(pieces) if "\0" + p not in self.rows]
         if new:
             self._learn(["\0" + p for p in new], [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
-        return np.fromiter((self.rows["\0" + p] for p in pieces), np.int64, len(pieces))
+        return np.fromiter((self.rows["\0" + p] for p in pieces), np.int32, len(pieces))
 
     def _parts(self, pieces: pa.Array) -> np.ndarray:
         """For each distinct piece the rows of its line end, word and marks; -1: it has none."""
-        out = np.full((len(pieces), 3), -1)
+        out = np.full((len(pieces), 3), -1, np.int32)
         found = pc.extract_regex(pieces, WORD)
         known = found.is_valid().to_numpy(zero_copy_only=False)
         at = np.flatnonzero(known)
@@ -153,7 +153,7 @@ class Encoder:
         plain, odd = self._split(texts)
         if len(plain):
             rows, sizes = self._pieces(texts.take(pa.array(plain)) if len(odd) else texts)
-            total = np.r_[0, np.cumsum(self.lengths[rows])]
+            total = np.r_[np.int32(0), np.cumsum(self.lengths[rows], dtype=np.int32)]
             ends = np.cumsum(sizes)
             out[plain] = total[ends] - total[ends - sizes]
         for i in odd:
@@ -167,8 +167,8 @@ class Encoder:
         if len(plain):
             rows, sizes = self._pieces(texts.take(pa.array(plain)) if len(odd) else texts)
             lengths = self.lengths[rows]
-            total = np.r_[0, np.cumsum(lengths)]
-            flat = self.flat[np.repeat(self.starts[rows] - total[:-1], lengths) + np.arange(total[-1])]
+            total = np.r_[np.int32(0), np.cumsum(lengths, dtype=np.int32)]  # a batch of texts has fewer than 2 ** 31 bytes
+            flat = self.flat[np.repeat(self.starts[rows] - total[:-1], lengths) + np.arange(total[-1], dtype=np.int32)]
             ends = np.cumsum(sizes)
             counts[plain] = total[ends] - total[ends - sizes]
         if not len(odd):
