@@ -1,15 +1,19 @@
-"""Toxicity by two class-conditional Kneser-Ney models of byte n-grams.
-
-Each class has its own counts of the highest order; what it has rarely or never seen falls back to counts that both classes share
-(Kneser-Ney continuation counts of the lower orders). A text's evidence is its toxic minus its ordinary log-likelihood, per byte; as a long
-text may be toxic in one place, the strongest window of WINDOW bytes and the share of strongly toxic bytes count too. Logistic
-weights turn evidence into a score; they are fitted on labelled rows that gave no counts, so that they see it as new text has it.
-
-Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts are summed in the tasks before they are shuffled, and cover all labelled training rows. The model is one table of
-n-grams; it grows with them, up to MOST_GRAMS (checked), beyond which the rarest n-grams are left to the shared counts, so what goes
-to the tasks is bounded. Scoring is one pass without a shuffle, over whole texts, in pieces of CHUNK bytes.
-
-A null text counts as empty; empty texts have no evidence and get a score all the same. Null labels and ids teach nothing. Repeated ids are each scored.
+"""Toxicity by two class-conditional Kneser-Ney models of the symbols of words.
+
+A word is a run of letters and digits, cut every ORDER symbols; each symbol, and the end of a short word, is predicted from the symbols before it in its word. Each class
+discounts its own counts of the highest order; what it has rarely or never seen falls back to one Kneser-Ney model of both classes' counts (continuation
+counts in the lower orders). Toxic texts are mostly ordinary words, and ordinary texts are many more: counts of the larger class are scaled
+down to the smaller one's total, and each context gives the shared model STRENGTH counts besides, so that a word which neither class knows
+is no evidence. A word's evidence is its toxic minus its ordinary log-likelihood. A text's is the mean over its words, its strongest word and the
+share of words above STRONG. Logistic weights turn it into a score; they are fitted on labelled rows that gave no counts, so that
+they see it as new text has it.
+
+Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of words are summed in the tasks before they are
+shuffled, and cover all labelled training rows. The model is made from one table of words of up to ORDER symbols; it grows with them, up to
+MOST_WORDS (checked), beyond which the rarest words are left out of it, so what goes to the tasks is bounded. Only the evidence of known symbols and
+contexts goes there, 12 bytes each. Scoring is one pass without a shuffle, over whole texts, in pieces of about CHUNK symbols.
+
+A null text counts as empty; texts without words have no evidence and get a score all the same. Null labels and ids teach nothing. Repeated ids are each scored.
 Without labels of both classes every score is the smoothed share of toxic labels. Other columns are not read.
 """
 
@@ -26,32 +30,50 @@ from pyspark.sql import functions as F
 from nearfield.llm.logistic import fit_logistic
 from nearfield.llm.spark import bounded_batches, discard, stored
 
-ORDER = 4
-SHARED = 3
-MOST_GRAMS = 6_000_000
+ORDER = 7
+MOST_WORDS = 1_000_000
 DISCOUNT = 0.75
-CHUNK = 1 << 20
-WINDOW = 12
+STRENGTH = 20.0
 STRONG = 2.0
+CHUNK = 1 << 20
 #: Labelled rows, of those kept from the counts, that the three logistic weights are fitted on at most.
 MOST_CALIBRATION_ROWS = 20_000
-CACHE = 1 << 20
+CACHE_BITS = 20
+SPACE = 32
+BLANK = sum(SPACE << 8 * i for i in range(ORDER))
+MASK = (1 << 8 * ORDER) - 1
 
 
 def symbols(text: str) -> np.ndarray:
-    """Lower-cased code points as bytes: those under 256 are themselves, others are folded."""
+    """Lower-cased code points as bytes. Letters and digits under 256 are themselves, code points above are folded into the upper half; all else is SPACE."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 256, points, (points * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+    folded = (points * np.uint32(2654435761)) >> np.uint32(25) | np.uint32(128)
+    latin = (points >= 97) & (points <= 122) | (points >= 48) & (points <= 57) | (points >= 0xC0) & (points < 256) & (points != 0xD7) & (points != 0xF7)
+    marks = (points >= 0x2000) & (points < 0x2070) | (points >= 0x3000) & (points < 0x3040)
+    return np.where(latin, points, np.where((points >= 256) & ~marks, folded, SPACE)).astype(np.uint8)
 
 
-def codes(text: str) -> np.ndarray:
-    """For each symbol, it and the ORDER - 1 symbols before it as one integer; a text starts after line ends."""
+def words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's words as integers of ORDER symbols, filled up with spaces on the left, and where they start. A word of fewer symbols also holds the space that ends it."""
     own = symbols(text)
-    padded = np.concatenate([np.full(ORDER - 1, 10, np.uint8), own]).astype(np.int64)
-    out = np.zeros(len(own), np.int64)
+    gaps = np.flatnonzero(own == SPACE)
+    at = np.arange(len(own))
+    gap = np.searchsorted(gaps, at)
+    before, end = np.r_[-1, gaps][gap], np.r_[gaps, len(own)][gap]
+    starts = np.flatnonzero((own != SPACE) & ((at - before - 1) % ORDER == 0))
+    length = np.minimum(end[starts] - starts, ORDER)
+    padded = np.concatenate([own, np.full(ORDER, SPACE, np.uint8)])
+    out = np.full(len(starts), BLANK, np.int64)
     for i in range(ORDER):
-        out = out << 8 | padded[i : i + len(own)]
-    return out
+        out = np.where(i <= length, (out << 8 | padded[starts + i]) & MASK, out)
+    return out, starts
+
+
+def grams(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each number of symbols left out at the end of words: which words have more, and what remains of them, as long as a word."""
+    for left_out in range(ORDER):
+        rest = (BLANK << 8 * (ORDER - left_out)) & MASK | found >> 8 * left_out
+        yield np.flatnonzero(rest != BLANK), rest
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -65,98 +87,100 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[by][at], np.add.reduceat(values[..., by], at, axis=-1) if len(at) else values[..., :0]
 
 
-class _Level:
-    """Counts of one order: grams, and for their contexts totals and numbers of kinds. Leading axes of counts are classes."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.grams, self.counts = grams, counts
-        self.contexts, self.totals = _sums(grams >> 8, counts)
-        self.kinds = _sums(grams >> 8, (counts > 0).astype(np.float64))[1]
-
-    def below(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Grams of the order and their continuation counts: by how many different symbols each is preceded."""
-        return _sums(self.grams & ((1 << 8 * order) - 1), (self.counts > 0).astype(np.float64))
-
-    def smooth(self, grams: np.ndarray, base: np.ndarray) -> np.ndarray:
-        total, kinds = _find(self.contexts, self.totals, grams >> 8), _find(self.contexts, self.kinds, grams >> 8)
-        seen = np.maximum(_find(self.grams, self.counts, grams) - DISCOUNT, 0)
-        return np.where(total > 0, (seen + DISCOUNT * kinds * base) / np.maximum(total, 1), base)
-
-
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros((*values.shape[:-1], len(wanted)))
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[..., at], 0.0)
+    return np.where(keys[at] == wanted, values[..., at], 0)
+
+
+def shared_probabilities(known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of the known grams (ascending, with counts of both classes together), by Kneser-Ney smoothing."""
+    levels = [(known, counts)]
+    for order in range(ORDER - 1, 0, -1):
+        levels.append(_sums(levels[-1][0] & ((1 << 8 * order) - 1), np.ones(len(levels[-1][0]))))
+    p = np.full(len(levels[-1][0]), 1 / 256)
+    for order, (own, n) in enumerate(reversed(levels), 1):
+        context, first = np.unique(own >> 8, return_inverse=True)
+        total, kinds = np.bincount(first, n, len(context))[first], np.bincount(first, minlength=len(context))[first]
+        p = (n - DISCOUNT + DISCOUNT * kinds * p) / total
+        if order < ORDER:
+            above = levels[-order - 1][0]
+            p = p[np.searchsorted(own, above & ((1 << 8 * order) - 1))]
+    return p
 
 
 class Model:
-    """From distinct codes, ascending, with their counts in ordinary and toxic texts."""
-
-    def __init__(self, grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        level = _Level(grams, np.stack([ordinary, toxic]).astype(np.float64))
-        self.own, self.common = [level], []
-        for order in range(ORDER - 1, SHARED, -1):
-            level = _Level(*level.below(order))
-            self.own.append(level)
-        for order in range(SHARED, 0, -1):
-            grams, counts = level.below(order)
-            level = _Level(grams, counts.sum(axis=0) if counts.ndim == 2 else counts)
-            self.common.append(level)
-
-    def shared(self, grams: np.ndarray) -> np.ndarray:
-        """Probability of the last symbol after the SHARED - 1 before it, from counts of both classes."""
-        p = np.full(len(grams), 1 / 256)
-        for order, level in enumerate(reversed(self.common), 1):
-            p = level.smooth(grams & ((1 << 8 * order) - 1), p)
-        return p
-
-    def probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """Of the last symbol, in ordinary and in toxic texts."""
-        p = np.tile(self.shared(grams), (2, 1))
-        for order, level in enumerate(reversed(self.own), SHARED + 1):
-            p = level.smooth(grams & ((1 << 8 * order) - 1), p)
-        return p
-
-    def evidence(self, grams: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-probability of the last symbol."""
-        p = self.probabilities(grams)
-        return np.log(p[1]) - np.log(p[0])
+    """Evidence of symbols, from distinct words and their counts in ordinary and toxic texts.
+
+    A class's probability of a known gram is (max(count - DISCOUNT, 0) * scale + room * shared) / (total * scale + STRENGTH), where room is
+    DISCOUNT * scale * kinds + STRENGTH. Of an unseen gram in a known context, the shared probability cancels out of the evidence, so only
+    the room is needed; unseen contexts give none."""
+
+    def __init__(self, found: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
+        counts = np.stack([ordinary, toxic]).astype(np.float64)
+        known, n = np.empty(0, np.int64), np.empty((2, 0))
+        for at, rest in grams(found):
+            known, n = _sums(np.r_[known, rest[at]], np.c_[n, counts[:, at]])
+        scale = (n.sum(axis=1).min() / n.sum(axis=1))[:, None]
+        contexts, first = np.unique(known >> 8, return_inverse=True)
+        total = np.stack([np.bincount(first, c, len(contexts)) for c in n]) * scale
+        kinds = np.stack([np.bincount(first, c > 0, len(contexts)) for c in n])
+        room = DISCOUNT * scale * kinds + STRENGTH
+        unseen = np.log(room / (total + STRENGTH))
+        p = (np.maximum(n - DISCOUNT, 0) * scale + room[:, first] * shared_probabilities(known, n.sum(axis=0))) / (total[:, first] + STRENGTH)
+        self.grams, self.values = known, (np.log(p[1]) - np.log(p[0])).astype(np.float32)
+        self.contexts, self.rest = contexts, (unseen[1] - unseen[0]).astype(np.float32)
+
+    def evidence(self, wanted: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-probability of the last symbol of grams."""
+        if not len(self.grams):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(self.grams, wanted), len(self.grams) - 1)
+        return np.where(self.grams[at] == wanted, self.values[at], _find(self.contexts, self.rest, wanted >> 8))
+
+    def of_words(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found))
+        for at, rest in grams(found):
+            out[at] += self.evidence(rest[at])
+        return out
 
 
 class Scorer:
-    """Evidence of texts, with a table of recent n-grams in front of the model."""
+    """Evidence of texts, with a table of recent words in front of the model."""
 
     def __init__(self, model: Model):
-        self.model, self.keys, self.values = model, np.full(CACHE, -1, np.int64), np.zeros(CACHE, np.float32)
+        self.model, self.keys, self.values = model, np.full(1 << CACHE_BITS, -1, np.int64), np.zeros(1 << CACHE_BITS, np.float32)
 
-    def evidence(self, data: str) -> np.ndarray:
-        grams = codes(data)
+    def _slots(self, found: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            slot = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            return ((found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+
+    def evidence(self, found: np.ndarray) -> np.ndarray:
+        """Of words."""
+        slot = self._slots(found)
         out = self.values[slot]
-        missed = self.keys[slot] != grams
+        missed = self.keys[slot] != found
         if missed.any():
-            new, back = np.unique(grams[missed], return_inverse=True)
-            value = self.model.evidence(new).astype(np.float32)
+            new, back = np.unique(found[missed], return_inverse=True)
+            value = self.model.of_words(new).astype(np.float32)
             out[missed] = value[back]
-            at = ((new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-            self.keys[at], self.values[at] = new, value
+            at = self._slots(new)
+            self.keys[at] = new
+            self.values[at] = value
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: mean evidence, strongest window, share of strong bytes."""
+        """Per text: mean evidence, strongest word, share of strong words."""
         out = np.zeros((len(texts), 3))
         texts = [t.lower() for t in texts]
-        joined = self.evidence("\n".join(texts)) if texts else np.empty(0)
-        at = 0
-        for i, t in enumerate(texts):
-            own = joined[at : at + len(t)].astype(np.float64)
-            at += len(t) + 1
-            if len(own):
-                total = np.cumsum(own)
-                ends = total[WINDOW - 1 :] - np.r_[0.0, total[: len(own) - WINDOW]] if len(own) >= WINDOW else total[-1:]
-                out[i] = total[-1] / len(own), ends.max() / WINDOW, (own > STRONG).mean()
+        found, starts = words("\n".join(texts))
+        value = self.evidence(found).astype(np.float64)
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if b > a:
+                own = value[a:b]
+                out[i] = own.mean(), own.max(), (own > STRONG).mean()
         return out
 
 
@@ -165,22 +189,22 @@ def fold(doc_id: str = "doc_id"):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, int]] = []
+    held: list[np.ndarray] = []
     size = 0
 
     def flush():
-        grams = np.concatenate([g << 1 | c for g, c in held])
-        grams.sort()
-        at = _runs(grams)
-        n, own, c = np.diff(np.r_[at, len(grams)]), grams[at] >> 1, grams[at] & 1
+        found = np.concatenate(held)
+        found.sort()
+        at = _runs(found)
+        n, own, c = np.diff(np.r_[at, len(found)]), found[at] >> 1, found[at] & 1
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.where(c == 0, n, 0)), pa.array(np.where(c == 1, n, 0))], names=["gram", "ordinary", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.where(c == 0, n, 0)), pa.array(np.where(c == 1, n, 0))], names=["word", "ordinary", "toxic"])
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            held.append((codes(text or ""), int(toxic)))
-            size += len(held[-1][0])
-            if size >= 4 * CHUNK:
+            held.append(words(text or "")[0] << 1 | int(toxic))
+            size += len(held[-1])
+            if size >= CHUNK:
                 yield flush()
                 size = 0
     if held:
@@ -202,12 +226,12 @@ def _features(model):
                 at = to
             f = np.concatenate(found) if found else np.zeros((0, 3))
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(3))], names=[*(c for c in batch.schema.names if c != "text"), "mean_evidence", "top_window", "strong_share"])
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(3))], names=[*(c for c in batch.schema.names if c != "text"), "mean_evidence", "top_word", "strong_share"])
 
     return run
 
 
-KINDS = "mean_evidence double, top_window double, strong_share double"
+KINDS = "mean_evidence double, top_word double, strong_share double"
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, float]:
@@ -215,23 +239,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame,
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0")
     n = marked.withColumn("fold", fold()).where("fold <> 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
-    counted = known.where("fold <> 1").select("text", "toxic").mapInArrow(_count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counted = known.where("fold <> 1").select("text", "toxic").mapInArrow(_count, "word long, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     counted = stored(counted)
     size = counted.count()
     least = 1
-    while size > MOST_GRAMS:
+    while size > MOST_WORDS:
         least += 1
         size = counted.where(F.col("ordinary") + F.col("toxic") >= least).count()
-    table = counted.where(F.col("ordinary") + F.col("toxic") >= least).toArrow()  # MOST_GRAMS rows at most
+    table = counted.where(F.col("ordinary") + F.col("toxic") >= least).toArrow()  # MOST_WORDS rows at most
     discard(counted)
-    grams, ordinary, toxic = (table.column(c).to_numpy() for c in ("gram", "ordinary", "toxic"))
-    by = np.argsort(grams)
-    model = Model(grams[by], ordinary[by], toxic[by]) if ordinary.any() and toxic.any() else None
+    found, ordinary, toxic = (table.column(c).to_numpy() for c in ("word", "ordinary", "toxic"))
+    model = Model(found, ordinary, toxic) if ordinary.any() and toxic.any() else None
     return model, known.where("fold = 1").select("doc_id", "text", "toxic"), (n.k + 1) / (n.n + 2)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, mean_evidence, top_window, strong_share) for each row of docs."""
+    """(doc_id, held_out, score, predicted, mean_evidence, top_word, strong_share) for each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -241,13 +264,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
         shipped = spark.sparkContext.broadcast(model)
         bounded = calibration.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_features(shipped), f"doc_id long, toxic int, h long, {KINDS}")
         rows = bounded.orderBy("h", "doc_id", "mean_evidence").limit(MOST_CALIBRATION_ROWS).toArrow()
-        x = np.stack([rows.column(c).to_numpy() for c in ("mean_evidence", "top_window", "strong_share")], axis=1)
+        x = np.stack([rows.column(c).to_numpy() for c in ("mean_evidence", "top_word", "strong_share")], axis=1)
         weights = fit_logistic(x, rows.column("toxic").to_numpy())
     if weights is None:
-        out = docs.select("doc_id", F.lit(float(share)).alias("score"), *[F.lit(0.0).alias(c) for c in ("mean_evidence", "top_window", "strong_share")])
+        out = docs.select("doc_id", F.lit(float(share)).alias("score"), *[F.lit(0.0).alias(c) for c in ("mean_evidence", "top_word", "strong_share")])
     else:
         z = F.lit(float(weights[0]))
-        for w, c in zip(weights[1:], ("mean_evidence", "top_window", "strong_share"), strict=True):
+        for w, c in zip(weights[1:], ("mean_evidence", "top_word", "strong_share"), strict=True):
             z = z + F.lit(float(w)) * F.col(c)
         out = docs.mapInArrow(_features(shipped), f"doc_id long, {KINDS}").withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "mean_evidence", "top_window", "strong_share")
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "mean_evidence", "top_word", "strong_share")
