@@ -5,7 +5,7 @@ discounts its own counts of the highest order; what it has rarely or never seen
 counts in the lower orders). Toxic texts are mostly ordinary words, and ordinary texts are many more: counts of the larger class are scaled
 down to the smaller one's total, and each context gives the shared model STRENGTH counts besides, so that a word which neither class knows
 is no evidence. A word's evidence is its toxic minus its ordinary log-likelihood. A text's is the mean over its words, its strongest word and the
-share of words above STRONG. Logistic weights turn it into a score; they are fitted on labelled rows that gave no counts, so that
+share of words above STRONG, both as if the text had PRIOR_WORDS more words without evidence, so that a few words prove little. Logistic weights turn it into a score; they are fitted on labelled rows that gave no counts, so that
 they see it as new text has it.
 
 Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of words are summed in the tasks before they are
@@ -35,6 +35,7 @@ MOST_WORDS = 1_000_000
 DISCOUNT = 0.75
 STRENGTH = 20.0
 STRONG = 2.0
+PRIOR_WORDS = 30
 CHUNK = 1 << 20
 #: Labelled rows, of those kept from the counts, that the three logistic weights are fitted on at most.
 MOST_CALIBRATION_ROWS = 20_000
@@ -180,7 +181,8 @@ class Scorer:
         for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if b > a:
                 own = value[a:b]
-                out[i] = own.mean(), own.max(), (own > STRONG).mean()
+                n = len(own) + PRIOR_WORDS
+                out[i] = own.sum() / n, own.max(), (own > STRONG).sum() / n
         return out
 
 
