@@ -9,7 +9,7 @@ Targets: weights 5, 2, 1 repeat over the sources in code-point order, null last,
 source's tokens, and what is over goes to the others by weight (a level found from sorted ratios, in one window over the sources).
 
 Scale: only (source, size) counts enter the iteration. Rounding runs in groups of about GROUP documents, by a hash of the
-document, so a hot source is many groups. Results depend on the rows alone, not on their order or partitioning.
+document, so a hot source is many groups. Documents meet their source's target in a broadcast of checked size, or beyond it in a join that deals out hot sources. Results depend on the rows alone, not on their order or partitioning.
 
 A null text has size 0 and is taken 0 times its size. A null source is a source of its own. Rows equal in id, source and size are
 interchangeable, so ties change nothing. Extra columns pass through; their names must not be those of the result. An empty table gives an empty result.
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from nearfield.llm.spark import bounded_batches, discard, stored
+from nearfield.llm.spark import bounded_batches, discard, spread_join, stored
 
 # Source weights in order of the sources, repeating, and the most copies of a document.
 WEIGHTS = (5, 2, 1)
 MOST = 3
 GROUP = 4096
+#: Up to so many sources their targets and tilts are broadcast; beyond, documents meet them in a join that deals out large sources.
+MOST_BROADCAST_SOURCES = 50_000
 STEPS = 60
 CLOSE = 1e-9
 
@@ -117,7 +119,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     aims = stored(targets(counted, weights, most))
     found = tilts(counted, aims, most)
     aim = aims.join(found.withColumnRenamed("source", "tilted"), F.equal_null("source", "tilted"), "left").drop("tilted").withColumnRenamed("source", "of")
-    rated = rows.join(aim, F.equal_null("source", "of")).drop("of")
+    if aims.count() <= MOST_BROADCAST_SOURCES:
+        rated = rows.join(F.broadcast(aim), F.equal_null("source", "of")).drop("of")
+    else:
+        key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("")).alias("_key")
+        rated = spread_join(rows.select("*", key("source")), stored(aim.select("*", key("of"), F.col("n_rows").alias("n"))), ["_key"], ["doc_id"]).drop("of", "_key")
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.coalesce("tilt", F.lit(0.0)) * F.col("size") / F.coalesce("unit", F.lit(1.0)))))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("n_rows") / GROUP)).cast("int")
     rated = rated.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), salt.alias("salt"), *[f"kept_{k}" for k in keep])

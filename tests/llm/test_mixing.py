@@ -73,3 +73,12 @@ def test_hot_source_in_many_groups(spark, monkeypatch):
     rows = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("a")).collect()
     for r in rows:
         assert r.t == pytest.approx(r.a, rel=0.02)
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")))
+    rows = lambda: sorted(map(repr, mixing.mixed(docs, keep=("lang",)).collect()))
+    small = rows()
+    monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", 0)
+    assert rows() == small and len(small) == docs.count()
