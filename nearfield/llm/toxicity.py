@@ -9,9 +9,10 @@ share of words above STRONG, both as if the text had PRIOR_WORDS more words with
 they see it as new text has it.
 
 Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of words are summed in the tasks before they are
-shuffled, and cover all labelled training rows. The model is made from one table of words of up to ORDER symbols; it grows with them, up to
-MOST_WORDS (checked), beyond which the rarest words are left out of it, so what goes to the tasks is bounded. Only the evidence of known symbols and
-contexts goes there, 12 bytes each. Scoring is one pass without a shuffle, over whole texts, in pieces of about CHUNK symbols.
+shuffled. The model is made from one table of words of up to ORDER symbols, of which no word is ever dropped: up to MOST_WORDS (checked) it is made in the
+driver's memory; beyond, the same sums are joins of stored tables, and the evidence goes to the tasks in blocks of about MOST_WORDS grams, chosen by context,
+which a task reads from its disk one at a time. Only the evidence of known symbols and contexts goes there, 12 bytes each.
+Scoring is one pass without a shuffle, over whole texts, in pieces of about CHUNK symbols.
 
 A null text counts as empty; texts without words have no evidence and get a score all the same. Null labels and ids teach nothing. Repeated ids are each scored.
 Without labels of both classes every score is the smoothed share of toxic labels. Other columns are not read.
@@ -19,18 +20,20 @@ Without labels of both classes every score is the smoothed share of toxic labels
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.logistic import fit_logistic
 from nearfield.llm.spark import bounded_batches, discard, stored
 
 ORDER = 7
+#: Distinct words up to which the model is made in the driver's memory, and about as many grams are in a block beyond.
 MOST_WORDS = 1_000_000
 DISCOUNT = 0.75
 STRENGTH = 20.0
@@ -133,6 +136,17 @@ class Model:
         self.grams, self.values = known, (np.log(p[1]) - np.log(p[0])).astype(np.float32)
         self.contexts, self.rest = contexts, (unseen[1] - unseen[0]).astype(np.float32)
 
+    @classmethod
+    def of_table(cls, table: pa.Table) -> Model:
+        """A block, from its rows (gram, value, rest) of whole contexts."""
+        model = cls.__new__(cls)
+        gram, value, rest = (table.column(c).to_numpy() for c in ("gram", "value", "rest"))
+        by = np.argsort(gram)
+        model.grams, model.values = gram[by], value[by]
+        at = _runs(model.grams >> 8)
+        model.contexts, model.rest = model.grams[at] >> 8, rest[by][at]
+        return model
+
     def evidence(self, wanted: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of the last symbol of grams."""
         if not len(self.grams):
@@ -147,6 +161,21 @@ class Model:
         return out
 
 
+class Blocks:
+    """A model in broadcast blocks, of which a task holds one at a time. A context is in one block; the others have no evidence for it."""
+
+    def __init__(self, shipped: list):
+        self.shipped = shipped
+
+    def of_words(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found))
+        for block in self.shipped:
+            # value would keep the block; an encrypted one has no file and is kept
+            model = block.load_from_path(block._path) if hasattr(block, "_path") else block.value
+            out += model.of_words(found)
+        return out
+
+
 class Scorer:
     """Evidence of texts, with a table of recent words in front of the model."""
 
@@ -213,9 +242,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, counts = batch.column("word").to_numpy(), np.stack([batch.column(c).to_numpy() for c in ("ordinary", "toxic")])
+        parts = [(rest[at], counts[:, at]) for at, rest in grams(found)]
+        own, n = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.ascontiguousarray(n[0])), pa.array(np.ascontiguousarray(n[1]))], names=["gram", "ordinary", "toxic"])
+
+
+def gram_evidence(counted: DataFrame) -> DataFrame:
+    """(gram, value, rest), stored, of all words of a table (word, ordinary, toxic): what Model computes, as joins. A context or suffix has at most 256 rows."""
+    known = stored(counted.mapInArrow(_gram_counts, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    levels = [known.select(F.col("gram").alias("own"), (F.col("ordinary") + F.col("toxic")).alias("n"))]
+    for order in range(ORDER - 1, 0, -1):
+        levels.append(stored(levels[-1].select(F.col("own").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n"))))
+    p = None
+    for order, level in enumerate(reversed(levels), 1):
+        context = Window.partitionBy(F.shiftright("own", 8))
+        rows = level.select("own", "n", F.sum("n").over(context).alias("total"), F.count(F.lit(1)).over(context).alias("kinds"), F.col("own").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)).alias("suffix"))
+        rows = rows.withColumn("p", F.lit(1 / 256)) if p is None else rows.join(p.select(F.col("own").alias("suffix"), "p").hint("merge"), "suffix")
+        above = stored(rows.select("own", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")).alias("p")))
+        discard(*([] if p is None else [p]))
+        p = above
+    sums = known.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).first()
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    rows = known.join(p.select(F.col("own").alias("gram"), "p").hint("merge"), "gram")
+    logs, unseen = [], []
+    for c in ("ordinary", "toxic"):
+        scale = min(sums.ordinary, sums.toxic) / sums[c]
+        room = DISCOUNT * scale * F.sum((F.col(c) > 0).cast("long")).over(context) + STRENGTH
+        total = F.sum(c).over(context) * F.lit(scale) + STRENGTH
+        unseen.append(F.log(room / total))
+        logs.append(F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) * scale + room * F.col("p")) / total))
+    out = stored(rows.select("gram", (logs[1] - logs[0]).cast("float").alias("value"), (unseen[1] - unseen[0]).cast("float").alias("rest")))
+    discard(known, p, *levels[1:])
+    return out
+
+
+def made(counted: DataFrame) -> Model | Blocks | None:
+    """The model of a stored table (word, ordinary, toxic); None without words of both classes."""
+    size = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("ordinary"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    if not size.ordinary or not size.toxic:
+        return None
+    if size.n <= MOST_WORDS:
+        table = counted.toArrow()  # MOST_WORDS rows at most
+        return Model(*(table.column(c).to_numpy() for c in ("word", "ordinary", "toxic")))
+    rows = gram_evidence(counted)
+    n = math.ceil(rows.count() / MOST_WORDS)
+    block = F.shiftright("gram", 8) % 1_000_003 % n
+    shipped = [counted.sparkSession.sparkContext.broadcast(Model.of_table(rows.where(block == i).toArrow())) for i in range(n)]  # about MOST_WORDS rows each
+    discard(rows)
+    return Blocks(shipped)
+
+
 def _features(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(model if isinstance(model, Blocks) else model.value)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             found, at = [], 0
@@ -236,22 +318,15 @@ def _features(model):
 KINDS = "mean_evidence double, top_word double, strong_share double"
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame, float]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Blocks | None, DataFrame, float]:
     """The model from training folds 2 to 4, the rows of fold 1 for the logistic weights, and the share of toxic labels. Fold 0 is never read."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0")
     n = marked.withColumn("fold", fold()).where("fold <> 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     counted = known.where("fold <> 1").select("text", "toxic").mapInArrow(_count, "word long, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     counted = stored(counted)
-    size = counted.count()
-    least = 1
-    while size > MOST_WORDS:
-        least += 1
-        size = counted.where(F.col("ordinary") + F.col("toxic") >= least).count()
-    table = counted.where(F.col("ordinary") + F.col("toxic") >= least).toArrow()  # MOST_WORDS rows at most
+    model = made(counted)
     discard(counted)
-    found, ordinary, toxic = (table.column(c).to_numpy() for c in ("word", "ordinary", "toxic"))
-    model = Model(found, ordinary, toxic) if ordinary.any() and toxic.any() else None
     return model, known.where("fold = 1").select("doc_id", "text", "toxic"), (n.k + 1) / (n.n + 2)
 
 
@@ -263,7 +338,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
     model, calibration, share = train(docs, labels)
     weights = None
     if model:
-        shipped = spark.sparkContext.broadcast(model)
+        shipped = model if isinstance(model, Blocks) else spark.sparkContext.broadcast(model)
         bounded = calibration.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_features(shipped), f"doc_id long, toxic int, h long, {KINDS}")
         rows = bounded.orderBy("h", "doc_id", "mean_evidence").limit(MOST_CALIBRATION_ROWS).toArrow()
         x = np.stack([rows.column(c).to_numpy() for c in ("mean_evidence", "top_word", "strong_share")], axis=1)

@@ -139,3 +139,23 @@ def test_evidence_does_not_depend_on_batches():
     model = toxicity.Model(found, counts, counts[::-1].copy())
     whole = toxicity.Scorer(model).features(texts)
     assert np.allclose(whole, np.concatenate([toxicity.Scorer(model).features([t]) for t in texts])) and not whole[1].any()
+
+
+def test_no_word_is_dropped_beyond_the_bound(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rng = np.random.default_rng(3)
+    found = np.unique(toxicity.words(" ".join("".join(rng.choice(list("abcd"), rng.integers(1, 10))) for _ in range(300)))[0])
+    counts = rng.integers(0, 3, (2, len(found)))
+    counts[0] += counts.sum(axis=0) == 0
+    model = toxicity.Model(found, *counts)
+    scores = lambda: sorted((r.doc_id, r.score, r.top_word) for r in toxicity.scored(docs, labels).collect())
+    whole = scores()
+    assert len({s for _, s, _ in whole}) > 100
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 50)
+    counted = spark.createDataFrame([*zip(found.tolist(), *counts.tolist(), strict=True)], "word long, ordinary long, toxic long")
+    rows = {r.gram: (r.value, r.rest) for r in toxicity.gram_evidence(counted).collect()}
+    assert sorted(rows) == model.grams.tolist()
+    assert np.allclose([rows[g][0] for g in model.grams.tolist()], model.values, atol=1e-5)
+    assert np.allclose([rows[g][1] for g in model.grams.tolist()], model.rest[np.searchsorted(model.contexts, model.grams >> 8)], atol=1e-5)
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 20_000)
+    assert np.allclose(scores(), whole, atol=1e-4)
