@@ -5,8 +5,9 @@ discounts its own counts of the highest order; what it has rarely or never seen
 counts in the lower orders). Toxic texts are mostly ordinary words, and ordinary texts are many more: counts of the larger class are scaled
 down to the smaller one's total, and each context gives the shared model STRENGTH counts besides, so that a word which neither class knows
 is no evidence. A word's evidence is its toxic minus its ordinary log-likelihood. A text's is the mean over its words, its strongest word and the
-share of words above STRONG, both as if the text had PRIOR_WORDS more words without evidence, so that a few words prove little. Logistic weights turn it into a score; they are fitted on labelled rows that gave no counts, so that
-they see it as new text has it.
+share of words above STRONG, both as if the text had PRIOR_WORDS more words without evidence, so that a few words prove little. Logistic weights turn it into a score; they are fitted on a bounded sample
+of the labelled rows of fold 1, with the evidence of a model that does not count the sample, so that they see it as new text has it. The model that scores counts
+all labelled training rows (folds 1 to 4), the sample too.
 
 Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of words are summed in the tasks before they are
 shuffled. The model is made from one table of words of up to ORDER symbols, of which no word is ever dropped: up to MOST_WORDS (checked) it is made in the
@@ -40,7 +41,7 @@ STRENGTH = 20.0
 STRONG = 2.0
 PRIOR_WORDS = 30
 CHUNK = 1 << 20
-#: Labelled rows, of those kept from the counts, that the three logistic weights are fitted on at most.
+#: Labelled rows that the three logistic weights are fitted on at most.
 MOST_CALIBRATION_ROWS = 20_000
 CACHE_BITS = 20
 SPACE = 32
@@ -227,13 +228,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.concatenate(held)
         found.sort()
         at = _runs(found)
-        n, own, c = np.diff(np.r_[at, len(found)]), found[at] >> 1, found[at] & 1
+        n, own, c, sampled = np.diff(np.r_[at, len(found)]), found[at] >> 2, found[at] & 1, (found[at] >> 1 & 1).astype(np.int32)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.where(c == 0, n, 0)), pa.array(np.where(c == 1, n, 0))], names=["word", "ordinary", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(sampled), pa.array(np.where(c == 0, n, 0)), pa.array(np.where(c == 1, n, 0))], names=["word", "sampled", "ordinary", "toxic"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            held.append(words(text or "")[0] << 1 | int(toxic))
+        for text, toxic, sampled in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "sampled")), strict=True):
+            held.append(words(text or "")[0] << 2 | sampled << 1 | toxic)
             size += len(held[-1])
             if size >= CHUNK:
                 yield flush()
@@ -318,16 +319,24 @@ def _features(model):
 KINDS = "mean_evidence double, top_word double, strong_share double"
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Blocks | None, DataFrame, float]:
-    """The model from training folds 2 to 4, the rows of fold 1 for the logistic weights, and the share of toxic labels. Fold 0 is never read."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Blocks | None, Model | Blocks | None, DataFrame, float]:
+    """The model of all training rows, the model without the sample, the sample for the logistic weights, and the share of toxic labels. Fold 0 is never read."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0")
+    known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0").withColumn("h", F.xxhash64("doc_id"))
     n = marked.withColumn("fold", fold()).where("fold <> 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
-    counted = known.where("fold <> 1").select("text", "toxic").mapInArrow(_count, "word long, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    edge = known.where("fold = 1").select("h").orderBy("h").limit(MOST_CALIBRATION_ROWS).agg(F.max("h")).first()[0]
+    sampled = F.coalesce((F.col("fold") == 1) & (F.col("h") <= F.lit(edge).cast("long")), F.lit(False))
+    known = known.withColumn("sampled", sampled.cast("int"))
+    counted = known.select("text", "toxic", "sampled").mapInArrow(_count, "word long, sampled int, ordinary long, toxic long").groupBy("word", "sampled").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     counted = stored(counted)
-    model = made(counted)
+    rest = made(counted.where("sampled = 0").select("word", "ordinary", "toxic"))
+    model = None
+    if rest:
+        both = stored(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+        model = made(both)
+        discard(both)
     discard(counted)
-    return model, known.where("fold = 1").select("doc_id", "text", "toxic"), (n.k + 1) / (n.n + 2)
+    return model, rest, known.where("sampled = 1").select("doc_id", "text", "toxic", "h"), (n.k + 1) / (n.n + 2)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -335,11 +344,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model, calibration, share = train(docs, labels)
+    model, rest, calibration, share = train(docs, labels)
     weights = None
     if model:
-        shipped = model if isinstance(model, Blocks) else spark.sparkContext.broadcast(model)
-        bounded = calibration.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_features(shipped), f"doc_id long, toxic int, h long, {KINDS}")
+        ship = lambda m: m if isinstance(m, Blocks) else spark.sparkContext.broadcast(m)
+        shipped = ship(model)
+        bounded = calibration.mapInArrow(_features(ship(rest)), f"doc_id long, toxic int, h long, {KINDS}")
         rows = bounded.orderBy("h", "doc_id", "mean_evidence").limit(MOST_CALIBRATION_ROWS).toArrow()
         x = np.stack([rows.column(c).to_numpy() for c in ("mean_evidence", "top_word", "strong_share")], axis=1)
         weights = fit_logistic(x, rows.column("toxic").to_numpy())

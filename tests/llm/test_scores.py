@@ -159,3 +159,16 @@ def test_no_word_is_dropped_beyond_the_bound(spark, monkeypatch):
     assert np.allclose([rows[g][1] for g in model.grams.tolist()], model.rest[np.searchsorted(model.contexts, model.grams >> 8)], atol=1e-5)
     monkeypatch.setattr(toxicity, "MOST_WORDS", 20_000)
     assert np.allclose(scores(), whole, atol=1e-4)
+
+
+def test_all_training_rows_are_counted(spark, monkeypatch):
+    folds = {f: [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == f] for f in range(5)}
+    ids = [(i, n % 2) for f in range(5) for n, i in enumerate(folds[f][:20])]
+    docs = spark.createDataFrame([(i, f"common w{i}x") for i, _ in ids], "doc_id long, text string")
+    labels = spark.createDataFrame(ids, "doc_id long, toxic int")
+    shown = lambda f: {int(toxicity.words(f"w{i}x")[0][0]) for i in folds[f][:20]}
+    for most, kept in ((1000, 0), (7, 13)):
+        monkeypatch.setattr(toxicity, "MOST_CALIBRATION_ROWS", most)
+        model, rest, sample, _ = toxicity.train(docs, labels)
+        assert all(shown(f) <= set(model.grams.tolist()) for f in (1, 2, 3, 4)) and not shown(0) & set(model.grams.tolist())
+        assert len(shown(1) & set(rest.grams.tolist())) == kept and sample.count() == 20 - kept
