@@ -1,4 +1,4 @@
-"""Coarse-to-fine search: each level keeps a fraction of what the level before it kept."""
+"""Coarse-to-fine search: each level keeps a fraction of what the level before it kept, for each query by itself."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ class Cascade:
                 found = index.search(query, kept, use_ann=self.use_ann)
                 kept = min(kept, index.rows())
             else:
-                found = S.topk_subset(index.vectors, found.select("vec_id"), index.unit_query(query, strict=False), kept)
+                found = S.topk_candidates(index.vectors, found.select("qid", "vec_id"), index.unit_query(query, strict=False), kept)
         return found.where(F.col("rnk") <= top_k)
 
     def get_vector(self, level: str, vec_id: int) -> list[float]:

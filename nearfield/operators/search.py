@@ -136,6 +136,13 @@ def topk_subset(vectors: DataFrame, subset: DataFrame, queries: DataFrame, k: in
     return topk_exact(subset.select("vec_id", "ord").join(vectors.select("vec_id", "embedding"), "vec_id"), queries, k, "ord")
 
 
+def topk_candidates(vectors: DataFrame, kept: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """k best for each query among its own candidates kept (qid, vec_id); a repeated candidate counts once."""
+    there = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    rows = kept.select("qid", "vec_id").distinct().join(there, "vec_id").join(queries.where("q IS NOT NULL").select("qid", "q"), "qid")
+    return _rank(rows.select("qid", "vec_id", F.lit(0).cast("long").alias("ord"), V.dot("q", "embedding").alias("score")), k)
+
+
 def candidates(signed: DataFrame, signed_queries: DataFrame) -> DataFrame:
     """(qid, q, vec_id, embedding) of rows whose signature is a query's: an equi-join, whose kind Spark picks."""
     return signed_queries.select("qid", "q", "sig").join(signed.select("vec_id", "embedding", "sig"), "sig")

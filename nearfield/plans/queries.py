@@ -87,6 +87,14 @@ def _cascade(spark, d):
     return _rounded(Cascade({"f8": level, "f16": level, "f32": level}).search(v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q")), ["f16", "f8", "f32"], 10))
 
 
+def _cascade_ann(spark, d):
+    """All queries at once, and a first level that uses the buckets where they have enough rows."""
+    v = _signed(_vectors(spark, d), "embedding")
+    rows, dims = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    level = VectorIndex(v, rows, dims, lsh.hyperplanes(BITS, DIMS))
+    return _rounded(Cascade({"f8": level, "f16": level, "f32": level}).search(_queries(v), ["f16", "f8", "f32"], 10))
+
+
 def _levels(spark, d):
     v = _vectors(spark, d)
     levels = spark.createDataFrame([(x,) for x in V.LEVELS], "level string")
@@ -171,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topk_ann_bucket_only": _ann(False),
         "topk_ann_fallback": _ann(True),
         "cascade_f16_f8_f32": _cascade,
+        "cascade_ann_all_queries": _cascade_ann,
         "level_identity": _levels,
         "index_roundtrip": _index_roundtrip,
     }
@@ -188,6 +197,11 @@ def oracle_sql() -> dict[str, str]:
     first = f"greatest(1, {n} // 10)"
     cascade = f""", a AS (SELECT v.vec_id, dot(q.u, v.e) AS sc FROM q, v WHERE q.vec_id = 0),
 b AS ({stage.format(src='a', k=first)}), c AS ({stage.format(src='b', k=f'greatest(1, ({first}) // 100)')})"""
+    each = "SELECT qid, vec_id, sc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, vec_id) AS r FROM {src}) WHERE r <= {k}"
+    second = f"greatest(1, ({first}) // 100)"
+    cascade_ann = f""", a1 AS (SELECT q.vec_id AS qid, v.vec_id, dot(q.u, v.e) AS sc FROM q, v JOIN s sv ON sv.vec_id = v.vec_id JOIN s sq ON TRUE JOIN c ON c.sig = sq.sig
+  WHERE sq.vec_id = q.vec_id AND (sq.sig = sv.sig OR n_cand < {first})),
+b1 AS ({each.format(src='a1', k=first)}), c1 AS ({each.format(src='b1', k=second)})"""
     return {
         "vector_norms": _sql("SELECT vec_id, round(sqrt(dot(e, e)), 6) AS norm FROM v"),
         "normalize_lenient": _sql(_sql_cells(unit)),
@@ -208,6 +222,7 @@ b AS ({stage.format(src='a', k=first)}), c AS ({stage.format(src='b', k=f'greate
         "topk_ann_bucket_only": _sql(_sql_topk(where=in_bucket.replace("JOIN s sq ON sq.vec_id = q.vec_id", "JOIN s sq ON sq.sig = sv.sig") + " WHERE sq.vec_id = q.vec_id"), _signed_sql()),
         "topk_ann_fallback": _sql(fallback_from, _signed_sql()),
         "cascade_f16_f8_f32": _sql("SELECT 0::BIGINT AS qid, row_number() OVER (ORDER BY sc DESC, vec_id)::INT AS rnk, vec_id, round(sc, 6) + 0.0::DOUBLE AS score FROM c", cascade),
+        "cascade_ann_all_queries": _sql("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, vec_id)::INT AS rnk, vec_id, round(sc, 6) + 0.0::DOUBLE AS score FROM c1 QUALIFY rnk <= 10", _signed_sql() + cascade_ann),
         "level_identity": _sql(f"SELECT vec_id, pos, value, level FROM ({PLAIN_CELLS}), (VALUES ('f8'), ('f16'), ('f32'), ('f64')) l(level)"),
         "index_roundtrip": _sql(PLAIN_CELLS),
     }

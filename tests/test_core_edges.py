@@ -177,6 +177,16 @@ def test_cascade_keeps_fractions(spark, frame, matrix):
     assert (cascade.rows(), cascade.dims()) == (300, 16)
 
 
+def test_cascade_keeps_candidates_of_each_query(spark, frame, matrix):
+    planes = lsh.hyperplanes(2, 16)
+    for level in (VectorIndex(frame, 300, 16, None), VectorIndex(frame.withColumn("sig", lsh.signature("embedding", planes)), 300, 16, planes)):
+        cascade = Cascade({"f8": level, "f16": level, "f32": level})
+        found = cascade.search(S.queries_frame(spark, {i: matrix[i] for i in (8, 9, 39, 100)}), ["f16", "f32"], 30)
+        for i in (8, 9, 39, 100):
+            rows = sorted((r.rnk, r.vec_id) for r in found.where(f"qid = {i}").collect())
+            assert rows == sorted((r.rnk, r.vec_id) for r in level.search(matrix[i], 30).collect()) and len(rows) == 30
+
+
 def test_sql_functions(spark):
     V.register_sql_functions(spark)
     r = spark.sql("SELECT nf_dot(array(1f, 2f), array(3f, 4f)), nf_norm(array(3f, 4f)), nf_normalize(array(3f, 4f))").first()
