@@ -50,8 +50,8 @@ def _holed(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
 
 
-def _signed(frame: DataFrame, column: str) -> DataFrame:
-    return frame.withColumn("sig", lsh.signature(column, lsh.hyperplanes(BITS, DIMS)))
+def _signed(frame: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    return frame.withColumn("sig", lsh.signature(column, lsh.hyperplanes(bits, DIMS)))
 
 
 def _scaled(vectors: DataFrame) -> DataFrame:
@@ -71,11 +71,11 @@ def _subset(spark, d):
     return _rounded(S.topk_subset(v, ids, _unit(v), K))
 
 
-def _ann(fallback: bool):
+def _ann(fallback: bool, bits: int = BITS):
     def run(spark, d):
         v = _vectors(spark, d)
         find = S.topk_ann if fallback else S.topk_bucket
-        return _rounded(find(_signed(v, "embedding"), _signed(_unit(v), "q"), K if not fallback else 30))
+        return _rounded(find(_signed(v, "embedding", bits), _signed(_unit(v), "q", bits), K if not fallback else 30))
 
     return run
 
@@ -121,8 +121,8 @@ def _sql_topk(score: str = "dot(q.u, v.e)", k: int = K, where: str = "", vectors
   FROM q, {vectors} v {where}) WHERE rnk <= {k}"""
 
 
-def _planes_sql() -> str:
-    return "VALUES " + ", ".join(f"({j}, [{', '.join(repr(float(x)) + '::DOUBLE' for x in h)}])" for j, h in enumerate(lsh.hyperplanes(BITS, DIMS)))
+def _planes_sql(bits: int = BITS) -> str:
+    return "VALUES " + ", ".join(f"({j}, [{', '.join(repr(float(x)) + '::DOUBLE' for x in h)}])" for j, h in enumerate(lsh.hyperplanes(bits, DIMS)))
 
 
 WITH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -133,8 +133,8 @@ def _sql(body: str, more: str = "") -> str:
     return re.sub(r"(?<![a-z_])dot\(", "list_dot_product(", f"{WITH}{more}\n{body}")
 
 
-def _signed_sql() -> str:
-    return f""", h(bit, plane) AS ({_planes_sql()}),
+def _signed_sql(bits: int = BITS) -> str:
+    return f""", h(bit, plane) AS ({_planes_sql(bits)}),
 s AS (SELECT vec_id, sum(CASE WHEN dot(e, plane) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS sig FROM v, h GROUP BY vec_id),
 c AS (SELECT sig, count(*) AS n_cand FROM s GROUP BY sig)"""
 
@@ -178,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lsh_candidates": lambda s, d: S.candidates(_signed(_vectors(s, d), "embedding"), _signed(_unit(_vectors(s, d)), "q")).select("qid", "vec_id"),
         "topk_ann_bucket_only": _ann(False),
         "topk_ann_fallback": _ann(True),
+        "topk_ann_fallback_default_bits": _ann(True, lsh.DEFAULT_BITS),
         "cascade_f16_f8_f32": _cascade,
         "cascade_ann_all_queries": _cascade_ann,
         "level_identity": _levels,
@@ -221,6 +222,7 @@ b1 AS ({each.format(src='a1', k=first)}), c1 AS ({each.format(src='b1', k=second
         "lsh_candidates": _sql("SELECT a.vec_id AS qid, b.vec_id FROM s a JOIN s b ON a.sig = b.sig WHERE a.vec_id % 50 = 0", _signed_sql()),
         "topk_ann_bucket_only": _sql(_sql_topk(where=in_bucket.replace("JOIN s sq ON sq.vec_id = q.vec_id", "JOIN s sq ON sq.sig = sv.sig") + " WHERE sq.vec_id = q.vec_id"), _signed_sql()),
         "topk_ann_fallback": _sql(fallback_from, _signed_sql()),
+        "topk_ann_fallback_default_bits": _sql(fallback_from, _signed_sql(lsh.DEFAULT_BITS)),
         "cascade_f16_f8_f32": _sql("SELECT 0::BIGINT AS qid, row_number() OVER (ORDER BY sc DESC, vec_id)::INT AS rnk, vec_id, round(sc, 6) + 0.0::DOUBLE AS score FROM c", cascade),
         "cascade_ann_all_queries": _sql("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, vec_id)::INT AS rnk, vec_id, round(sc, 6) + 0.0::DOUBLE AS score FROM c1 QUALIFY rnk <= 10", _signed_sql() + cascade_ann),
         "level_identity": _sql(f"SELECT vec_id, pos, value, level FROM ({PLAIN_CELLS}), (VALUES ('f8'), ('f16'), ('f32'), ('f64')) l(level)"),

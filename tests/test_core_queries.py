@@ -1,5 +1,6 @@
 import pytest
 
+from nearfield.operators import search as S
 from nearfield.plans import queries as Q
 from tests.oracle import DATA, compare, connect
 
@@ -12,3 +13,11 @@ def con():
 @pytest.mark.parametrize("name", list(Q.queries()))
 def test_same_as_sql(spark, con, name):
     compare(Q.queries()[name](spark, f"{DATA}/sf0.01"), con, Q.oracle_sql()[name])
+
+
+def test_recall_of_default_bits(spark):
+    d = f"{DATA}/sf0.1"
+    v = Q._vectors(spark, d)
+    exact = {(r.qid, r.vec_id) for r in S.topk_exact(v, Q._unit(v), 30).collect()}
+    recall = {name: len({(r.qid, r.vec_id) for r in Q.queries()[name](spark, d).collect()} & exact) / len(exact) for name in ("topk_ann_fallback", "topk_ann_fallback_default_bits")}
+    assert recall["topk_ann_fallback_default_bits"] >= 0.9
