@@ -1,13 +1,13 @@
 """From raw documents to token files: quality, near-duplicates, benchmark passages, source mix, token ids.
 
-Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of docs, save the last. A null
-doc_id passes the filters that name documents by id, except near-dedup, which needs ids. Rows that share an id are judged together by
-the filters. Empty tables pass through.
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of docs, save the last.
+Near-dedup and decontamination judge each row by itself, whatever its id. The quality filter names documents by id: a null doc_id passes it, and
+rows that share an id are judged together. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, mixing, near_dedup, quality, token_output
@@ -28,18 +28,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Stored, with a number of its own for each row, so that neither null nor repeated ids name other rows."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id, once."""
-    kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return rows.withColumn("_row", again).where("_row = 1").select(docs.columns)
+    """One row of each group of near-duplicates stays: the one with the smallest id (null last; ties by text hash)."""
+    rows = _numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row"))
+    kept = found.join(rows.select("_row", "doc_id", "text").hint("merge"), "_row").groupBy("component_id").agg(first.alias("f")).select("f._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item go."""
-    bad = decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    """Rows that contain a test item go."""
+    rows = _numbered(docs)
+    bad = decontaminate.contained_items(rows.select(F.col("_row").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,14 @@ def test_odd_rows_pass_through(spark):
             assert out.columns == docs.columns
             assert out.count() <= 3 * len(some)
         assert P.STAGES[-1][1](spark, docs, f"{DATA}/sf0.001").count() == len(some)
+
+
+def test_rows_are_judged_by_themselves(spark):
+    d = f"{DATA}/sf0.001"
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    item = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (3, text("d")), (7, text("a")), (8, None)]
+    kept = lambda stage, some: sorted(((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(some, "doc_id long, text string"), d).collect()), key=repr)
+    assert kept(P.drop_near_duplicates, rows) == sorted([(None, text("b")), (5, text("c")), (3, text("d")), (7, text("a")), (8, None)], key=repr)
+    rows = [(None, item), (1, item), (1, text("a")), (None, text("b"))]
+    assert kept(P.drop_benchmark, rows) == sorted(rows[2:], key=repr)
