@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.llm import chat, decontaminate, mixing, near_dedup, quality, suffix_dedup, token_output, tokens, toxicity, winnow
 from nearfield.llm.spark import shared_folder
@@ -27,7 +28,8 @@ def op3_quality_rules(spark, d):
 
 
 def op4_suffix_array_dedup(spark, d):
-    return suffix_dedup.repeated_passages(_documents(spark, d)).drop("spans")
+    found = suffix_dedup.repeated_passages(_documents(spark, d))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "kept_text")
 
 
 def op5_chat_formatting(spark, d):

@@ -1,21 +1,21 @@
-"""Exact removal of repeated passages with a logarithmic family of suffix arrays.
+"""Exact removal of repeated passages with a logarithmic family of sparse suffix arrays.
 
 Every byte is removed that lies in a string of LENGTH bytes which also starts anywhere else, in this document or another.
 
 A window is such a string. Its anchor is the place of the smallest hash among its GRAM-byte strings, the rightmost of equal ones: equal windows
 have their anchors at the same place. Successive windows with one anchor are a segment. Segments whose anchor string occurs once in the
-corpus hold no repeated window; equal segments are repeated as a whole. What is left are segments that share an anchor string and
-differ somewhere. They are cut into blocks of up to STEP windows, at fixed places before the anchor. All windows of a block
-contain its core, so only blocks with equal cores can match, and a window is then known by the STEP - 1 bytes that surround the core.
+corpus hold no repeated window and go no further; this is a filter only. Segments with the same anchor hash and the same content are one kind. Each kind goes on as one
+entry, a kind of several segments as two, from two of its documents; the others learn what is found for it.
 
-Blocks come to a task in order of their cores, in batches. Each batch gets a suffix array: its windows' strings (core, offset, surroundings) in
-lexicographic order. Neighbours that are equal are matches inside the batch. The array is then scanned against every existing level for matches between batches,
-and joins the family as a new level; levels of about equal size are merged, so sizes grow geometrically and a window is merged a logarithmic number
-of times. Levels end with the core they belong to, as no other core can match them.
+An entry is a suffix of the corpus: the text from its anchor on, and beside it the text before the anchor. Entries come to a task by anchor hash and in order of their
+documents, in batches. Each batch gets a suffix array, its suffixes in lexicographic order. Two windows that lie o bytes before their anchors are equal if the suffixes
+agree in LENGTH - o bytes and the texts before them in o bytes, so a scan of the common prefixes of neighbours, on both sides of the anchors, tells all repeated windows. A new array
+is first scanned alone, then merged with every existing level, as far as they have anchors in common, and scanned again: that gives the matches between batches. It joins the
+family as a new level. Levels of about equal size are merged, so sizes grow geometrically and a suffix is merged a logarithmic number of times.
 
 Scale: the corpus is never gathered. Segments are rows of fixed width, one for every 140 to 200 bytes; counts come first, and text is fetched again only
-for one segment of each kind that may match in part. Copies are therefore one segment each. A task holds a core's blocks in levels, at about
-1,500 bytes a block. An anchor string with more than BUSY_KINDS different segments could make that too much, so windows of such segments are told apart one by
+for the entries. Copies are therefore two entries each, however many. The number of tasks follows from the number of entries, TASK_ENTRIES of up to 800 bytes on average. An anchor string with more than
+BUSY_KINDS different segments could make that too much, so windows of such segments are told apart one by
 one instead: counted with map-side sums, and those that repeat are joined in parts. Joins on an anchor string or kind that very many segments have are dealt out too.
 
 Nulls: a null text is an empty document, a null doc_id is a value like others. Repeated rows repeat each other. Very long documents are taken in chunks of windows.
@@ -38,11 +38,13 @@ from nearfield.llm.spark import bounded_batches, discard, spread_join, stored
 LENGTH, GRAM, STEP = 400, 16, 32
 CHUNK_WINDOWS = 1 << 20
 PLACE_BITS = np.uint64((1 << 21) - 1)
-#: Blocks of a batch.
-BATCH_BLOCKS = 20_000
+#: Entries of a batch, and of a task on average.
+BATCH_ENTRIES, TASK_ENTRIES = 2_000, 30_000
 #: An anchor string with more kinds of segments than this is busy. At most MOST_BUSY can be: the bound grows where there are more.
 BUSY_KINDS, MOST_BUSY = 50_000, 100_000
 SIGN = 1 << 63
+#: A window starts at most so many bytes before its anchor, less one.
+OFFSETS = LENGTH - GRAM + 1
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -102,7 +104,27 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(list(zip(*out, strict=True)), SEGMENT)
 
 
-BLOCK = "core long, around binary, low int, high int, base int, key long, content long, busy boolean"
+ENTRY = "key long, content long, place long, body binary, windows int, left int, busy boolean"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each entry's windows, fetched from its document."""
+    for batch in batches:
+        out, size = [], 0
+        for place, text, kinds in zip(*(batch.column(c).to_pylist() for c in ("place", "text", "kinds")), strict=True):
+            data = text.encode()
+            for k in kinds:
+                body = data[k["first"] : k["first"] + k["windows"] + LENGTH - 1]
+                out.append((k["key"], k["content"], place, body, k["windows"], k["left"], k["busy"]))
+                size += len(body)
+                if size > 4 << 20:
+                    yield _batch(list(zip(*out, strict=True)), ENTRY)
+                    out, size = [], 0
+        if out:
+            yield _batch(list(zip(*out, strict=True)), ENTRY)
+
+
+BLOCK = "core long, around binary, low int, high int, base int, key long, content long"
 
 
 def blocks(data: bytes, key: int, first: int, windows: int, left: int) -> Iterator[tuple[int, bytes, int, int, int]]:
@@ -119,10 +141,8 @@ def blocks(data: bytes, key: int, first: int, windows: int, left: int) -> Iterat
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, kinds in zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
-            data = text.encode()
-            for k in kinds:
-                out.extend((*b, k["key"], k["content"], k["busy"]) for b in blocks(data, k["key"], k["first"], k["windows"], k["left"]))
+        for key, content, body, windows, left in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "body", "windows", "left")), strict=True):
+            out.extend((*b, key, content) for b in blocks(body, key, 0, windows, left))
             if len(out) > 20_000:
                 yield _batch(list(zip(*out, strict=True)), BLOCK)
                 out = []
@@ -130,49 +150,67 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(list(zip(*out, strict=True)), BLOCK)
 
 
-WINDOW_BYTES = 8 + 1 + STEP - 1
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    """Lexicographic order of rows of bytes."""
+    return np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0], kind="stable")
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row of an ordered matrix has in common with the row before it; -1 for the first."""
+    out = np.full(len(rows), -1, np.int64)
+    for at in range(1, len(rows), 4096):
+        differ = rows[at : at + 4096] != rows[at - 1 : min(at + 4096, len(rows)) - 1]
+        out[at : at + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
 
 
 class Level:
-    """A suffix array: windows' strings in lexicographic order, and whose they are."""
+    """A sparse suffix array. after: the suffixes' first LENGTH bytes, in lexicographic order; before: the bytes before them, backwards.
+
+    A suffix's own windows start from low to high bytes before it. Bytes beyond them are zero and never compared for a window that is there."""
 
-    def __init__(self, strings: np.ndarray, owners: np.ndarray):
-        self.strings, self.owners = strings, owners
+    def __init__(self, keys: np.ndarray, after: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, owners: np.ndarray):
+        self.parts = keys, after, before, low, high, owners
+        self.keys, self.after, self.before, self.low, self.high, self.owners = self.parts
 
     @classmethod
-    def of(cls, cores: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray, number: int) -> Level:
-        """Of a batch's blocks; an owner is block * STEP + offset, blocks counted from number."""
-        strings, owners = [], []
-        head = np.frombuffer(cores.astype(">i8").tobytes(), np.uint8).reshape(-1, 8)
-        for o in range(STEP):
-            rows = np.flatnonzero((low <= o) & (o <= high))
-            if len(rows):
-                text = np.empty((len(rows), WINDOW_BYTES), np.uint8)
-                text[:, :8], text[:, 8], text[:, 9:] = head[rows], o, around[rows, o : o + STEP - 1]
-                strings.append(text)
-                owners.append((rows + number) * STEP + o)
-        flat = np.concatenate(strings)
-        out = np.frombuffer(flat.tobytes(), f"S{WINDOW_BYTES}")
-        by = np.argsort(out, kind="stable")
-        return cls(out[by], np.concatenate(owners)[by])
-
-    def repeated(self) -> np.ndarray:
-        """Owners of windows equal to a neighbour."""
-        same = self.strings[1:] == self.strings[:-1]
-        return self.owners[np.r_[same, False] | np.r_[False, same]]
-
-    def matches(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
-        """Owners of windows that both levels have, here and there."""
-        low, high = np.searchsorted(other.strings, self.strings), np.searchsorted(other.strings, self.strings, side="right")
-        hit = high > low
-        edges = np.zeros(len(other.strings) + 1, np.int64)
-        np.add.at(edges, low[hit], 1)
-        np.add.at(edges, high[hit], -1)
-        return self.owners[hit], other.owners[np.cumsum(edges[:-1]) > 0]
+    def of(cls, keys: np.ndarray, bodies: list[bytes], windows: np.ndarray, left: np.ndarray, number: int) -> Level:
+        """Of a batch of entries, which are counted from number."""
+        after = b"".join(t[x : x + LENGTH].ljust(LENGTH, b"\0") for t, x in zip(bodies, left.tolist(), strict=True))
+        before = b"".join(t[:x].rjust(OFFSETS, b"\0") for t, x in zip(bodies, left.tolist(), strict=True))
+        after, before = (np.frombuffer(t, np.uint8).reshape(len(bodies), -1) for t in (after, before))
+        level = cls(keys, after, before[:, ::-1], left - windows + 1, left, np.arange(number, number + len(bodies)))
+        return level.taken(_ordered(after))
+
+    def taken(self, at: np.ndarray) -> Level:
+        return Level(*(x[at] for x in self.parts))
+
+    def meeting(self, other: Level) -> Level:
+        """The suffixes whose anchors the other level has too."""
+        return self.taken(np.flatnonzero(np.isin(self.keys, other.keys)))
 
     def merged(self, other: Level) -> Level:
-        at = np.searchsorted(self.strings, other.strings, side="right")
-        return Level(np.insert(self.strings, at, other.strings), np.insert(self.owners, at, other.owners))
+        mine, theirs = (x.after.view(f"S{LENGTH}")[:, 0] for x in (self, other))
+        at = np.searchsorted(mine, theirs, side="right")
+        return Level(*(np.insert(a, at, b, axis=0) for a, b in zip(self.parts, other.parts, strict=True)))
+
+    def repeated(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(offset, owners of windows that start so far before their suffix and occur again)."""
+        if len(self.keys) < 2:
+            return
+        right = common_prefixes(self.after)
+        order = _ordered(self.before)
+        left = common_prefixes(self.before[order])
+        group = np.empty(len(order), np.int64)
+        for o in range(int(self.low.min()), int(self.high.max()) + 1):
+            group[order] = np.cumsum(left < o)
+            there = np.flatnonzero((self.low <= o) & (o <= self.high))
+            pair = (np.cumsum(right < LENGTH - o) * (len(order) + 1) + group)[there]
+            by = np.argsort(pair)
+            pair = pair[by]
+            same = pair[1:] == pair[:-1]
+            if same.any():
+                yield o, self.owners[there[by[np.r_[same, False] | np.r_[False, same]]]]
 
 
 class IndexFamily:
@@ -181,97 +219,47 @@ class IndexFamily:
     def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, level: Level) -> np.ndarray:
-        found = [level.repeated()]
+    def add(self, level: Level) -> Iterator[tuple[int, np.ndarray]]:
+        yield from level.repeated()
         for old in self.levels:
-            found.extend(level.matches(old))
+            yield from old.meeting(level).merged(level.meeting(old)).repeated()
         self.levels.append(level)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1].strings) > len(self.levels[-2].strings):
+        while len(self.levels) > 1 and 2 * len(self.levels[-1].keys) > len(self.levels[-2].keys):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
-        return np.unique(np.concatenate(found))
 
 
 MARK = "key long, content long, start int, end int"
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in order of core to removed spans, relative to their segments."""
-    family, held, flags = IndexFamily(), [], []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal family, held, flags
-        if held:
-            keys, contents, bases = (np.concatenate([h[i] for h in held]) for i in range(3))
-            if flags:
-                owners = np.unique(np.concatenate(flags))
-                block, offset = owners // STEP, owners % STEP
-                first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (offset[1:] != offset[:-1] + 1)])
-                last = np.r_[first[1:], len(owners)] - 1
-                b = block[first]
-                yield _batch([keys[b], contents[b], bases[b] + offset[first], bases[b] + offset[last] + LENGTH], MARK)
-        family, held, flags = IndexFamily(), [], []
-
-    def take(rows: pa.RecordBatch) -> None:
-        cores = rows.column("core").to_numpy()
-        low, high, base, keys, contents = (rows.column(c).to_numpy() for c in ("low", "high", "base", "key", "content"))
-        around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(len(cores), -1)
-        number = sum(len(h[0]) for h in held)
-        held.append((keys, contents, base))
-        if len(found := family.add(Level.of(cores, around, low, high, number))):
-            flags.append(found)
-
-    waiting: list[pa.RecordBatch] = []
-    size, open_core = 0, None  # open_core: the core that earlier, already taken batches end with
+    """Entries in order of their documents to removed spans, relative to their segments."""
+    family, flags, names, held = IndexFamily(), [], [], []
+
+    def take(rows: pa.Table) -> None:
+        keys, contents, windows, left = (rows.column(c).to_numpy() for c in ("key", "content", "windows", "left"))
+        number = sum(map(len, flags))
+        flags.append(np.zeros((len(keys), OFFSETS), bool))
+        names.append((keys, contents, left))
+        for o, owners in family.add(Level.of(keys, rows.column("body").to_pylist(), windows, left, number)):
+            batch, own = np.divmod(owners, BATCH_ENTRIES)
+            for i in np.unique(batch):
+                flags[i][own[batch == i], o] = True
+
     for batch in batches:
-        waiting.append(batch)
-        size += batch.num_rows
-        while size >= BATCH_BLOCKS:
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            cores = table.column("core").to_numpy()
-            if open_core is not None and cores[0] != open_core:
-                yield from close()
-                open_core = None
-            cuts = np.flatnonzero(cores[1:] != cores[:-1]) + 1
-            cut = int(cuts[-1]) if len(cuts) else 0
-            if open_core is None and cut:  # whole cores only
-                yield from _taken(table.slice(0, cut), take)
-                yield from close()
-            elif cut:  # the rest of the open core, then whole cores
-                end = int(cuts[0])
-                yield from _taken(table.slice(0, end), take)
-                yield from close()
-                open_core, cut = None, end
-            else:  # one core fills the batch
-                cut = len(cores)
-                yield from _taken(table, take)
-                open_core = cores[-1]
-            rest = table.slice(cut)
-            waiting, size = rest.to_batches(), rest.num_rows
-    if size:
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        cores = table.column("core").to_numpy()
-        end = int(np.searchsorted(cores != open_core, True)) if open_core is not None else 0
-        if end:
-            yield from _taken(table.slice(0, end), take)
-        yield from close()
-        yield from _taken(table.slice(end), take)
-    yield from close()
-
-
-def _taken(table: pa.Table, take) -> Iterator[pa.RecordBatch]:
-    """Blocks whose core no other block has are left out."""
-    if table.num_rows:
-        cores = table.column("core").to_numpy()
-        if cores[0] == cores[-1]:
-            keep = np.ones(len(cores), bool)
-        else:
-            same = cores[1:] == cores[:-1]
-            keep = np.r_[same, False] | np.r_[False, same]
-        table = table.filter(pa.array(keep)).combine_chunks()
-        if table.num_rows:
-            take(table.to_batches()[0])
-    return iter(())
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= BATCH_ENTRIES:
+            table = pa.Table.from_batches(held)
+            take(table.slice(0, BATCH_ENTRIES))
+            held = table.slice(BATCH_ENTRIES).to_batches()
+    if any(b.num_rows for b in held):
+        take(pa.Table.from_batches(held))
+    for found, (keys, contents, left) in zip(flags, names, strict=True):
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, low = np.nonzero(edge == 1)
+        high = np.nonzero(edge == -1)[1] - 1
+        if len(row):
+            yield _batch([keys[row], contents[row], left[row] - high, left[row] - low + LENGTH], MARK)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +273,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs[-1][1] = max(runs[-1][1], s[1])
                 else:
                     runs.append(list(s))
-            kept, at = hashlib.sha256(), 0
+            pieces, at = [], 0
             for a, b in runs:
-                kept.update(data[at:a])
+                pieces.append(data[at:a])
                 at = b
-            kept.update(data[at:])
-            rows.append((len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "end": b} for a, b in runs]))
-        n, removed, many, digest, runs = zip(*rows, strict=True) if rows else ((),) * 5
+            kept = b"".join([*pieces, data[at:]])
+            rows.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs], kept.decode(errors="ignore")))
+        n, removed, many, digest, runs, kept = zip(*rows, strict=True) if rows else ((),) * 6
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, span)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, span), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
 
 def _busy_marks(blocks: DataFrame) -> DataFrame:
@@ -309,35 +297,37 @@ def _busy_marks(blocks: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of docs; spans are the removed runs of bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text) for each row of docs; spans are the removed runs of bytes.
+
+    kept_text is what is left, without the parts of characters that a removed run has cut in two."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", F.xxhash64("doc_id", "text"))
     found = stored(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_segments, SEGMENT))
-    keys = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1"))
+    keys = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = stored(spread_join(found, keys, ["key"], ["doc_id", "row_hash", "first"]))
-    kinds = shared.where("mixed").groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_hash", "first", "windows", "left")).alias("r"))
-    kinds = stored(kinds)
-    most = max(BUSY_KINDS, kinds.count() // MOST_BUSY)
+    discard(found, keys)
+    place = F.struct("doc_id", "row_hash", "first", "windows", "left")
+    kinds = stored(shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"), F.max(place).alias("r2")))
+    size = kinds.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum(F.least("n", F.lit(2))), F.lit(0)).alias("entries")).first()
+    most = max(BUSY_KINDS, size.kinds // MOST_BUSY)
     busy = stored(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > most).select("key", F.lit(True).alias("busy")))  # MOST_BUSY rows at most
     any_busy = not busy.isEmpty()
-    marked = kinds.join(F.broadcast(busy), "key", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
-    by_doc = marked.select("r.doc_id", "r.row_hash", F.struct("key", "content", "r.first", "r.windows", "r.left", "busy").alias("k")).groupBy("doc_id", "row_hash").agg(F.collect_list("k").alias("kinds"))
+    marked = kinds.join(F.broadcast(busy), "key", "left").withColumn("r", F.explode(F.when(F.col("n") > 1, F.array("r", "r2")).otherwise(F.array("r"))))
+    by_doc = marked.select("r.doc_id", "r.row_hash", F.struct("key", "content", "r.first", "r.windows", "r.left", F.coalesce("busy", F.lit(False)).alias("busy")).alias("k")).groupBy("doc_id", "row_hash").agg(F.collect_list("k").alias("kinds"))
     of = by_doc.withColumnsRenamed({"doc_id": "of_id", "row_hash": "of_hash"})
-    texts = docs.join(of, F.equal_null("doc_id", "of_id") & (F.col("row_hash") == F.col("of_hash"))).select("text", "kinds")
-    cut = texts.mapInArrow(_blocks, BLOCK)
+    texts = docs.join(of, F.equal_null("doc_id", "of_id") & (F.col("row_hash") == F.col("of_hash"))).select(F.col("row_hash").alias("place"), "text", "kinds")
+    entries = texts.mapInArrow(_entries, ENTRY)
     if any_busy:
-        cut = stored(cut)
-    marks = cut.where("NOT busy").repartition("core").sortWithinPartitions("core").mapInArrow(_match, MARK)
+        entries = stored(entries)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.entries // TASK_ENTRIES))
+    marks = entries.where("NOT busy").drop("busy").repartition(tasks, "key").sortWithinPartitions("place").mapInArrow(_match, MARK)
     if any_busy:
-        marks = marks.unionByName(_busy_marks(stored(cut.where("busy"))))
+        marks = marks.unionByName(_busy_marks(stored(entries.where("busy").mapInArrow(_blocks, BLOCK))))
     marks = marks.groupBy("key", "content").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + LENGTH - 1).alias("end")))
-    part = kinds.select("key", "content", "n").join(marks, ["key", "content"], "left").where("n > 1 OR marks IS NOT NULL").withColumn("copied", F.col("n") > 1)
-    mixed = spread_join(shared.where("mixed"), part, ["key", "content"], ["doc_id", "row_hash", "first"], kinds).select("doc_id", "row_hash", "first", F.when(F.col("copied"), whole).otherwise(F.col("marks")).alias("marks"))
-    plain = shared.where("NOT mixed").select("doc_id", "row_hash", "first", whole.alias("marks"))
-    spans = mixed.unionByName(plain).select("doc_id", "row_hash", F.explode(F.transform("marks", lambda m: F.struct((F.col("first") + m["start"]).alias("start"), (F.col("first") + m["end"]).alias("end")))).alias("span"))
+    part = stored(kinds.select("key", "content", "n").join(marks, ["key", "content"]))
+    spans = spread_join(shared, part, ["key", "content"], ["doc_id", "row_hash", "first"], kinds).select("doc_id", "row_hash", F.explode(F.transform("marks", lambda m: F.struct((F.col("first") + m["start"]).alias("start"), (F.col("first") + m["end"]).alias("end")))).alias("span"))
     spans = stored(spans.groupBy("doc_id", "row_hash").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "of_id", "row_hash": "of_hash"}))
-    discard(found, shared, kinds)
+    discard(shared, kinds, busy, part, *([entries] if any_busy else []))
     joined = docs.join(spans, F.equal_null("doc_id", "of_id") & (F.col("row_hash") == F.col("of_hash")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept_text string")

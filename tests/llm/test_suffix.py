@@ -47,7 +47,8 @@ def made(seed):
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_matches_brute_force(spark, monkeypatch, seed):
     if seed > 1:
-        monkeypatch.setattr(S, "BATCH_BLOCKS", 7 * seed)
+        monkeypatch.setattr(S, "BATCH_ENTRIES", 7 * seed)
+        monkeypatch.setattr(S, "TASK_ENTRIES", 30 * seed)
         monkeypatch.setattr(S, "CHUNK_WINDOWS", 150)
     busy, real = [], S._busy_marks
     if seed > 2:
@@ -72,25 +73,49 @@ def test_edges(spark):
     row = (1, "abc" * 200, "s", 1, 1)
     found = S.repeated_passages(spark.createDataFrame([row, row], schema)).collect()
     assert [(r.n_removed, r.n_spans) for r in found] == [(600, 1)] * 2
+    text = "é" * 500
+    rows = [(1, "a" + text), (2, text + "b"), (3, "c" + text[:199] + "cé" + text[:10])]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.kept_text for r in found] == ["a", "b", "c" + text[:199] + "cé" + text[:10]] and [[tuple(x) for x in r.spans] for r in found] == [[(1, 1001)], [(0, 1000)], []]
 
 
-def test_family_merges_geometrically_and_finds_all():
-    rng = np.random.default_rng(0)
-    family, every, found = S.IndexFamily(), [], []
-    for b in range(40):
-        around = rng.integers(97, 99, (5, 2 * S.STEP - 2)).astype(np.uint8)
-        cores, low, high = rng.integers(0, 2, 5), rng.integers(0, 16, 5), rng.integers(16, 32, 5)
-        around[:, 8:40] = 97
-        level = S.Level.of(cores, around, low, high, 5 * b)
-        every.extend((bytes(s), int(o)) for s, o in zip(level.strings, level.owners, strict=True))
-        found.append(family.add(level))
-        sizes = [len(x.strings) for x in family.levels]
-        assert all(a >= 2 * z for a, z in zip(sizes, sizes[1:], strict=False))
-        assert len(sizes) <= 9
-        for x in family.levels:
-            assert (x.strings[1:] >= x.strings[:-1]).all()
-    count = Counter(s for s, _ in every)
-    assert set(np.concatenate(found).tolist()) == {o for s, o in every if count[s] > 1}
+def entries(seed, n):
+    """Passages that differ in one place, as a task gets them."""
+    rng = random.Random(seed)
+    base = [bytes(rng.choice(b"abcd") for _ in range(2000)) for _ in range(n // 8)]
+    rows = []
+    for i in range(n):
+        data = bytearray(base[i % len(base)])
+        data[rng.randrange(2000)] = rng.randrange(256)
+        rows.extend((key, content, i, bytes(data[first : first + many + S.LENGTH - 1]), many, left) for key, content, first, many, left in S.segments(bytes(data)))
+    return rows
+
+
+def test_levels_exist_before_a_batch_and_merge_with_production_constants(monkeypatch):
+    rows = entries(3, 1500)
+    assert len(rows) > 6 * S.BATCH_ENTRIES
+    before, after, real = [], [], S.IndexFamily.add
+
+    def add(self, level):
+        before.append([len(x.keys) for x in self.levels])
+        yield from real(self, level)
+        after.append([len(x.keys) for x in self.levels])
+        for x in self.levels:
+            own = x.after.view(f"S{S.LENGTH}")[:, 0]
+            assert (own[1:] >= own[:-1]).all()
+
+    monkeypatch.setattr(S.IndexFamily, "add", add)
+    schema = S.ENTRY.replace(", busy boolean", "")
+    batches = [S._batch(list(zip(*rows[at : at + 900], strict=True)), schema) for at in range(0, len(rows), 900)]
+    marks = [tuple(m) for b in S._match(iter(batches)) for m in zip(*(b.column(c).to_pylist() for c in ("key", "content", "start", "end")), strict=True)]
+    assert max(map(len, before)) >= 2 and any(len(b) + 1 > len(a) for b, a in zip(before, after, strict=True))
+    assert all(x >= 2 * y for a in after for x, y in zip(a, a[1:], strict=False))
+    seen = Counter(body[i : i + S.LENGTH] for _, _, _, body, many, _ in rows for i in range(many))
+    got = {}
+    for key, content, start, end in marks:
+        got.setdefault((key, content), set()).update(range(start, end - S.LENGTH + 1))
+    for key, content, _, body, many, _ in rows:
+        assert got.get((key, content), set()) == {i for i in range(many) if seen[body[i : i + S.LENGTH]] > 1}
 
 
 def test_sliding_minimum():
