@@ -39,7 +39,7 @@ LENGTH, GRAM, STEP = 400, 16, 32
 CHUNK_WINDOWS = 1 << 20
 PLACE_BITS = np.uint64((1 << 21) - 1)
 #: Entries of a batch, and of a task on average.
-BATCH_ENTRIES, TASK_ENTRIES = 2_000, 30_000
+BATCH_ENTRIES, TASK_ENTRIES = 4_000, 30_000
 #: An anchor string with more kinds of segments than this is busy. At most MOST_BUSY can be: the bound grows where there are more.
 BUSY_KINDS, MOST_BUSY = 50_000, 100_000
 SIGN = 1 << 63
@@ -234,17 +234,16 @@ MARK = "key long, content long, start int, end int"
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries in order of their documents to removed spans, relative to their segments."""
-    family, flags, names, held = IndexFamily(), [], [], []
+    family, flags, names, held = IndexFamily(), np.zeros((0, OFFSETS), bool), [], []
 
     def take(rows: pa.Table) -> None:
+        nonlocal flags
         keys, contents, windows, left = (rows.column(c).to_numpy() for c in ("key", "content", "windows", "left"))
-        number = sum(map(len, flags))
-        flags.append(np.zeros((len(keys), OFFSETS), bool))
+        level = Level.of(keys, rows.column("body").to_pylist(), windows, left, len(flags))
+        flags = np.concatenate([flags, np.zeros((len(keys), OFFSETS), bool)])
         names.append((keys, contents, left))
-        for o, owners in family.add(Level.of(keys, rows.column("body").to_pylist(), windows, left, number)):
-            batch, own = np.divmod(owners, BATCH_ENTRIES)
-            for i in np.unique(batch):
-                flags[i][own[batch == i], o] = True
+        for o, owners in family.add(level):
+            flags[owners, o] = True
 
     for batch in batches:
         held.append(batch)
@@ -254,8 +253,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = table.slice(BATCH_ENTRIES).to_batches()
     if any(b.num_rows for b in held):
         take(pa.Table.from_batches(held))
-    for found, (keys, contents, left) in zip(flags, names, strict=True):
-        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    at = 0
+    for keys, contents, left in names:
+        edge = np.diff(np.pad(flags[at : at + len(keys)], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        at += len(keys)
         row, low = np.nonzero(edge == 1)
         high = np.nonzero(edge == -1)[1] - 1
         if len(row):

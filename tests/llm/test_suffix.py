@@ -93,7 +93,7 @@ def entries(seed, n):
 
 def test_levels_exist_before_a_batch_and_merge_with_production_constants(monkeypatch):
     rows = entries(3, 1500)
-    assert len(rows) > 6 * S.BATCH_ENTRIES
+    assert len(rows) > 3 * S.BATCH_ENTRIES
     before, after, real = [], [], S.IndexFamily.add
 
     def add(self, level):
