@@ -6,7 +6,7 @@ bounds. An L1-penalised logistic fit keeps few of them. Kept rules become Spark
 Scale: statistics are one pass over whole texts without a shuffle and are stored, as both the fit and the scores read them; scores are
 JVM expressions. The fit sees at most MOST_FIT_ROWS labelled rows, those of the smallest id hashes, on the driver.
 
-A null text counts as empty; an empty text has zero statistics and gets a score. Null labels and ids teach nothing. Repeated ids are each scored.
+A null text counts as empty; an empty text has zero statistics and gets a score. Null labels and ids teach nothing, nor do ids with both labels. Repeated ids are each scored.
 Without labels of both classes every score is the smoothed share of good labels. Other columns are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.logistic import fit_lasso, sigmoid
 from nearfield.llm.spark import bounded_batches, stored
-from nearfield.llm.toxicity import fold
+from nearfield.llm.toxicity import agreed, fold
 
 #: Labelled training rows that the rules are fitted on at most.
 MOST_FIT_ROWS = 20_000
@@ -160,8 +160,7 @@ def rule_score(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 
 def train(stats: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[Rule, float]]]:
     """Rules from labelled rows outside fold 0."""
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    known = stats.join(marked, "doc_id").where(fold() != 0).withColumn("h", F.xxhash64("doc_id"))
+    known = stats.join(agreed(labels, "quality"), "doc_id").where(fold() != 0).withColumn("h", F.xxhash64("doc_id"))
     rows = known.orderBy("h", "doc_id", *STATS).limit(MOST_FIT_ROWS).toArrow()
     return fit_rules(np.stack([rows.column(s).to_numpy() for s in STATS], axis=1), rows.column("quality").to_numpy())
 
