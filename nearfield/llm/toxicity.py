@@ -1,21 +1,23 @@
-"""Toxicity by two class-conditional Kneser-Ney models of the symbols of words.
-
-A word is a run of letters and digits, cut every ORDER symbols; each symbol, and the end of a short word, is predicted from the symbols before it in its word. Each class
-discounts its own counts of the highest order; what it has rarely or never seen falls back to one Kneser-Ney model of both classes' counts (continuation
-counts in the lower orders). Toxic texts are mostly ordinary words, and ordinary texts are many more: counts of the larger class are scaled
-down to the smaller one's total, and each context gives the shared model STRENGTH counts besides, so that a word which neither class knows
-is no evidence. A word's evidence is its toxic minus its ordinary log-likelihood. A text's is the mean over its words, its strongest word and the
-share of words above STRONG, both as if the text had PRIOR_WORDS more words without evidence, so that a few words prove little. Logistic weights turn it into a score; they are fitted on a bounded sample
+"""Toxicity by two class-conditional Kneser-Ney models of symbols over shared backoff counts.
+
+A text is its letters and digits, lower-cased, with one space for whatever lies between; each symbol is predicted from the ORDER - 1 symbols before it, spaces and the ends of earlier words
+included, so an expression counts wherever it starts, inside compounds and across words too. Each class discounts its own counts in contexts of ORDER - 1 down to SHARED symbols;
+what it has rarely or never seen falls back, order by order, to one Kneser-Ney model of both classes' texts (continuation
+counts of up to SHARED symbols). Toxic texts are mostly ordinary words, and ordinary texts are many more: counts of the larger class are scaled
+down to the smaller one's total, and each context gives the next lower order STRENGTH counts besides, so that what neither class knows is no evidence.
+
+A word's evidence is the sum over its symbols of the toxic minus the ordinary log-likelihood; runs are cut every PIECE symbols for this. A text's evidence is the mean over its words, its strongest word and the
+logarithm of the mean of their exponentials (at most CAP each), means as if the text had PRIOR_WORDS more words without evidence, so that a few words prove little. Logistic weights turn it into a score; they are fitted on a bounded sample
 of the labelled rows of fold 1, with the evidence of a model that does not count the sample, so that they see it as new text has it. The model that scores counts
-all labelled training rows (folds 1 to 4), the sample too.
+all labelled training rows (folds 1 to 4), the sample too. ORDER, SHARED, STRENGTH, CAP and PRIOR_WORDS were chosen by cross-validation on folds 1 to 4 alone (a test repeats it).
 
-Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of words are summed in the tasks before they are
-shuffled. The model is made from one table of words of up to ORDER symbols, of which no word is ever dropped: up to MOST_WORDS (checked) it is made in the
-driver's memory; beyond, the same sums are joins of stored tables, and the evidence goes to the tasks in blocks of about MOST_WORDS grams, chosen by context,
-which a task reads from its disk one at a time. Only the evidence of known symbols and contexts goes there, 12 bytes each.
-Scoring is one pass without a shuffle, over whole texts, in pieces of about CHUNK symbols.
+Scale: labels meet texts in a merge join at every size, so nothing that grows is broadcast. Counts of grams are summed in the tasks before they are
+shuffled. The model is made from one table of grams of ORDER symbols, of which none is ever dropped: up to MOST_GRAMS (checked) it is made in the
+driver's memory; beyond, the same sums are joins of stored tables, and the evidence goes to the tasks in blocks of about MOST_GRAMS grams, chosen by context,
+which a task reads from its disk one at a time.
+Scoring is one pass without a shuffle, over whole texts, in pieces of CHUNK code points, each of which starts with an empty context.
 
-A null text counts as empty; texts without words have no evidence and get a score all the same. Null labels and ids teach nothing. Repeated ids are each scored.
+A null text counts as empty; texts without words have no evidence and get a score all the same. Null labels and ids teach nothing, nor do ids with both labels. Repeated ids are each scored.
 Without labels of both classes every score is the smoothed share of toxic labels. Other columns are not read.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,52 +36,73 @@ from pyspark.sql import functions as F
 from nearfield.llm.logistic import fit_logistic
 from nearfield.llm.spark import bounded_batches, discard, stored
 
-ORDER = 7
-#: Distinct words up to which the model is made in the driver's memory, and about as many grams are in a block beyond.
-MOST_WORDS = 1_000_000
+# Chosen by cross-validation on the training folds.
+ORDER, SHARED = 5, 2
+STRENGTH, CAP, PRIOR_WORDS = 100.0, 5.0, 30
 DISCOUNT = 0.75
-STRENGTH = 20.0
-STRONG = 2.0
-PRIOR_WORDS = 30
+#: Distinct grams up to which the model is made in the driver's memory, and about as many grams are in a block beyond.
+MOST_GRAMS = 2_000_000
 CHUNK = 1 << 20
+#: Symbols of a word whose evidence is summed.
+PIECE = 32
 #: Labelled rows that the three logistic weights are fitted on at most.
 MOST_CALIBRATION_ROWS = 20_000
 CACHE_BITS = 20
-SPACE = 32
-BLANK = sum(SPACE << 8 * i for i in range(ORDER))
-MASK = (1 << 8 * ORDER) - 1
+SPACE, END = 32, 0
+ORDERS = range(SHARED + 1, ORDER + 1)
+FEATURES = ("mean_evidence", "top_word", "strong_words")
 
 
 def symbols(text: str) -> np.ndarray:
-    """Lower-cased code points as bytes. Letters and digits under 256 are themselves, code points above are folded into the upper half; all else is SPACE."""
+    """Code points as bytes: letters and digits under 256 lower-cased, NUL as END, code points above folded into 128 to 191, which no letter has; all else is SPACE."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = (points * np.uint32(2654435761)) >> np.uint32(25) | np.uint32(128)
-    latin = (points >= 97) & (points <= 122) | (points >= 48) & (points <= 57) | (points >= 0xC0) & (points < 256) & (points != 0xD7) & (points != 0xF7)
+    folded = (points * np.uint32(2654435761)) >> np.uint32(26) | np.uint32(128)
+    latin = (points >= 97) & (points <= 122) | (points >= 48) & (points <= 57) | (points >= 0xC0) & (points < 256) & (points != 0xD7) & (points != 0xF7) | (points == END)
     marks = (points >= 0x2000) & (points < 0x2070) | (points >= 0x3000) & (points < 0x3040)
     return np.where(latin, points, np.where((points >= 256) & ~marks, folded, SPACE)).astype(np.uint8)
 
 
-def words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's words as integers of ORDER symbols, filled up with spaces on the left, and where they start. A word of fewer symbols also holds the space that ends it."""
-    own = symbols(text)
-    gaps = np.flatnonzero(own == SPACE)
-    at = np.arange(len(own))
-    gap = np.searchsorted(gaps, at)
-    before, end = np.r_[-1, gaps][gap], np.r_[gaps, len(own)][gap]
-    starts = np.flatnonzero((own != SPACE) & ((at - before - 1) % ORDER == 0))
-    length = np.minimum(end[starts] - starts, ORDER)
-    padded = np.concatenate([own, np.full(ORDER, SPACE, np.uint8)])
-    out = np.full(len(starts), BLANK, np.int64)
-    for i in range(ORDER):
-        out = np.where(i <= length, (out << 8 | padded[starts + i]) & MASK, out)
-    return out, starts
-
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each symbol of the texts with the ORDER - 1 before it as one integer, where words start among them, and each word's text.
 
-def grams(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each number of symbols left out at the end of words: which words have more, and what remains of them, as long as a word."""
-    for left_out in range(ORDER):
-        rest = (BLANK << 8 * (ORDER - left_out)) & MASK | found >> 8 * left_out
-        yield np.flatnonzero(rest != BLANK), rest
+    Between words there is one space, after the last word too; before the first there are spaces only."""
+    own = symbols("".join(t.replace("\0", " ") + "\0" for t in texts))
+    gap = (own == SPACE) | (own == END)
+    own = own[~(own == SPACE) | ~np.r_[True, gap[:-1]]]  # the first space of a run, unless a text starts with it
+    at_end = own == END
+    own = own[~((own == SPACE) & np.r_[at_end[1:], False])]
+    at_end = own == END
+    at = np.arange(len(own))
+    since = at - np.maximum.accumulate(np.where(at_end, at, -1)) if len(own) else at
+    since = np.r_[0, since[:-1]] + 1 if len(own) else at  # symbols since the text's start, this one included
+    own = np.where(at_end, SPACE, own).astype(np.int64)
+    out, before = own.copy(), own
+    for i in range(1, ORDER):
+        before = np.r_[np.int64(SPACE), before[:-1]]
+        out |= np.where(since > i, before, SPACE) << 8 * i
+    there = ~(at_end & (since == 1))  # the end of an empty text predicts nothing
+    text = np.cumsum(at_end) - at_end
+    out, own, text = out[there], own[there], text[there]
+    first = (own != SPACE) & ((out >> 8 & 255) == SPACE)
+    place = np.arange(len(own))
+    inside = place - np.maximum.accumulate(np.where(first, place, 0)) if len(own) else place
+    starts = np.flatnonzero((own != SPACE) & (inside % PIECE == 0))
+    return out, starts, text[starts]
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Runs of about CHUNK code points of the texts, long ones in pieces, with each piece's text."""
+    held, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), CHUNK):
+            held.append(text[at : at + CHUNK])
+            owners.append(i)
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield held, owners
+                held, owners, size = [], [], 0
+    if held:
+        yield held, owners
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -99,86 +123,92 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[..., at], 0)
 
 
-def shared_probabilities(known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of the known grams (ascending, with counts of both classes together), by Kneser-Ney smoothing."""
-    levels = [(known, counts)]
-    for order in range(ORDER - 1, 0, -1):
-        levels.append(_sums(levels[-1][0] & ((1 << 8 * order) - 1), np.ones(len(levels[-1][0]))))
-    p = np.full(len(levels[-1][0]), 1 / 256)
-    for order, (own, n) in enumerate(reversed(levels), 1):
-        context, first = np.unique(own >> 8, return_inverse=True)
-        total, kinds = np.bincount(first, n, len(context))[first], np.bincount(first, minlength=len(context))[first]
-        p = (n - DISCOUNT + DISCOUNT * kinds * p) / total
-        if order < ORDER:
-            above = levels[-order - 1][0]
-            p = p[np.searchsorted(own, above & ((1 << 8 * order) - 1))]
-    return p
-
-
 class Model:
-    """Evidence of symbols, from distinct words and their counts in ordinary and toxic texts.
+    """Evidence of symbols, from distinct grams and their counts in ordinary and toxic texts.
 
-    A class's probability of a known gram is (max(count - DISCOUNT, 0) * scale + room * shared) / (total * scale + STRENGTH), where room is
-    DISCOUNT * scale * kinds + STRENGTH. Of an unseen gram in a known context, the shared probability cancels out of the evidence, so only
-    the room is needed; unseen contexts give none."""
+    A class's probability of a known gram is (max(count - DISCOUNT, 0) * scale + room * lower) / (total * scale + STRENGTH), where lower is its
+    probability in the context without the first symbol and room is DISCOUNT * scale * kinds + STRENGTH. An unseen gram in a known context has room * lower alone,
+    so its evidence is the rooms' and the lower order's; an unseen context leaves it to the lower order. In the shared orders there is no evidence."""
 
     def __init__(self, found: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        counts = np.stack([ordinary, toxic]).astype(np.float64)
-        known, n = np.empty(0, np.int64), np.empty((2, 0))
-        for at, rest in grams(found):
-            known, n = _sums(np.r_[known, rest[at]], np.c_[n, counts[:, at]])
-        scale = (n.sum(axis=1).min() / n.sum(axis=1))[:, None]
-        contexts, first = np.unique(known >> 8, return_inverse=True)
-        total = np.stack([np.bincount(first, c, len(contexts)) for c in n]) * scale
-        kinds = np.stack([np.bincount(first, c > 0, len(contexts)) for c in n])
-        room = DISCOUNT * scale * kinds + STRENGTH
-        unseen = np.log(room / (total + STRENGTH))
-        p = (np.maximum(n - DISCOUNT, 0) * scale + room[:, first] * shared_probabilities(known, n.sum(axis=0))) / (total[:, first] + STRENGTH)
-        self.grams, self.values = known, (np.log(p[1]) - np.log(p[0])).astype(np.float32)
-        self.contexts, self.rest = contexts, (unseen[1] - unseen[0]).astype(np.float32)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        levels = [(found, np.stack([ordinary, toxic]).astype(np.float64), (ordinary + toxic).astype(np.float64))]
+        for order in range(ORDER - 1, 0, -1):
+            above = levels[-1]
+            own, sums = _sums(above[0] & ((1 << 8 * order) - 1), np.concatenate([above[1], np.ones((1, len(above[0])))]))
+            levels.append((own, sums[:2], sums[2]))
+        totals = levels[0][1].sum(axis=1)
+        scale = (totals.min() / totals)[:, None]
+        below, p = None, None
+        for order, (own, n, kept) in enumerate(reversed(levels), 1):
+            contexts, first = np.unique(own >> 8, return_inverse=True)
+            lower = np.full((2, len(own)), 1 / 256) if below is None else p[:, np.searchsorted(below, own & ((1 << 8 * (order - 1)) - 1))]
+            if order <= SHARED:
+                total, kinds = np.bincount(first, kept, len(contexts))[first], np.bincount(first, minlength=len(contexts))[first]
+                p = (kept - DISCOUNT + DISCOUNT * kinds * lower) / total
+            else:
+                total = np.stack([np.bincount(first, c, len(contexts)) for c in n]) * scale + STRENGTH
+                room = DISCOUNT * scale * np.stack([np.bincount(first, c > 0, len(contexts)) for c in n]) + STRENGTH
+                p = (np.maximum(n - DISCOUNT, 0) * scale + room[:, first] * lower) / total[:, first]
+                unseen = np.log(room / total)
+                self.tables[order] = own, (np.log(p[1]) - np.log(p[0])).astype(np.float32), contexts, (unseen[1] - unseen[0]).astype(np.float32)
+            below = own
 
     @classmethod
     def of_table(cls, table: pa.Table) -> Model:
-        """A block, from its rows (gram, value, rest) of whole contexts."""
+        """A block, from its rows (level, gram, value, rest) of whole contexts."""
         model = cls.__new__(cls)
-        gram, value, rest = (table.column(c).to_numpy() for c in ("gram", "value", "rest"))
-        by = np.argsort(gram)
-        model.grams, model.values = gram[by], value[by]
-        at = _runs(model.grams >> 8)
-        model.contexts, model.rest = model.grams[at] >> 8, rest[by][at]
+        model.tables = {}
+        for order in ORDERS:
+            gram, value, rest = (table.filter(pc.equal(table.column("level"), order)).column(c).to_numpy() for c in ("gram", "value", "rest"))
+            by = np.argsort(gram)
+            gram, value, rest = gram[by], value[by], rest[by]
+            at = _runs(gram >> 8)
+            model.tables[order] = gram, value, gram[at] >> 8, rest[at]
         return model
 
+    def look_up(self, order: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which grams are known, their evidence, and that of their contexts' rooms."""
+        own, values, contexts, rest = self.tables[order]
+        rooms = _find(contexts, rest, wanted >> 8)
+        if not len(own):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted)), rooms
+        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+        return own[at] == wanted, values[at], rooms
+
     def evidence(self, wanted: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of the last symbol of grams."""
-        if not len(self.grams):
-            return np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(self.grams, wanted), len(self.grams) - 1)
-        return np.where(self.grams[at] == wanted, self.values[at], _find(self.contexts, self.rest, wanted >> 8))
-
-    def of_words(self, found: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(found))
-        for at, rest in grams(found):
-            out[at] += self.evidence(rest[at])
+        out = np.zeros(len(wanted))
+        for order in ORDERS:
+            known, value, room = self.look_up(order, wanted & ((1 << 8 * order) - 1))
+            out = np.where(known, value, room + out)
         return out
 
 
-class Blocks:
-    """A model in broadcast blocks, of which a task holds one at a time. A context is in one block; the others have no evidence for it."""
+class Blocks(Model):
+    """A model in broadcast blocks, of which a task holds one at a time. A context is in one block; the others do not know it."""
 
     def __init__(self, shipped: list):
         self.shipped = shipped
 
-    def of_words(self, found: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(found))
+    def evidence(self, wanted: np.ndarray) -> np.ndarray:
+        known, value, room = (np.zeros((len(ORDERS), len(wanted)), kind) for kind in (bool, float, float))
         for block in self.shipped:
             # value would keep the block; an encrypted one has no file and is kept
             model = block.load_from_path(block._path) if hasattr(block, "_path") else block.value
-            out += model.of_words(found)
+            for i, order in enumerate(ORDERS):
+                there, found, rest = model.look_up(order, wanted & ((1 << 8 * order) - 1))
+                known[i] |= there
+                value[i] += np.where(there, found, 0)
+                room[i] += rest
+        out = np.zeros(len(wanted))
+        for i in range(len(ORDERS)):
+            out = np.where(known[i], value[i], room[i] + out)
         return out
 
 
 class Scorer:
-    """Evidence of texts, with a table of recent words in front of the model."""
+    """Evidence of texts, with a table of recent grams in front of the model."""
 
     def __init__(self, model: Model):
         self.model, self.keys, self.values = model, np.full(1 << CACHE_BITS, -1, np.int64), np.zeros(1 << CACHE_BITS, np.float32)
@@ -188,32 +218,36 @@ class Scorer:
             return ((found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
 
     def evidence(self, found: np.ndarray) -> np.ndarray:
-        """Of words."""
+        """Of grams."""
         slot = self._slots(found)
         out = self.values[slot]
         missed = self.keys[slot] != found
         if missed.any():
             new, back = np.unique(found[missed], return_inverse=True)
-            value = self.model.of_words(new).astype(np.float32)
+            value = self.model.evidence(new).astype(np.float32)
             out[missed] = value[back]
             at = self._slots(new)
             self.keys[at] = new
             self.values[at] = value
         return out
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: mean evidence, strongest word, share of strong words."""
-        out = np.zeros((len(texts), 3))
-        texts = [t.lower() for t in texts]
-        found, starts = words("\n".join(texts))
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of words, and whose they are."""
+        found, starts, owner = grams(texts)
         value = self.evidence(found).astype(np.float64)
-        cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                own = value[a:b]
-                n = len(own) + PRIOR_WORDS
-                out[i] = own.sum() / n, own.max(), (own > STRONG).sum() / n
-        return out
+        return (np.add.reduceat(value, starts) if len(starts) else value[:0]), owner
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Per text: mean evidence, strongest word, logarithm of the mean exponential."""
+        n, total, strong, top = (np.full(len(texts), x) for x in (0.0, 0.0, 0.0, -np.inf))
+        for part, owners in pieces(texts):
+            value, owner = self.words(part)
+            owner = np.array(owners)[owner] if len(owner) else owner
+            n += np.bincount(owner, minlength=len(texts))
+            total += np.bincount(owner, value, len(texts))
+            strong += np.bincount(owner, np.exp(np.minimum(value, CAP)), len(texts))
+            np.maximum.at(top, owner, value)
+        return np.stack([total / (n + PRIOR_WORDS), np.where(n > 0, top, 0.0), np.log((strong + PRIOR_WORDS) / (n + PRIOR_WORDS))], axis=1)
 
 
 def fold(doc_id: str = "doc_id"):
@@ -221,77 +255,69 @@ def fold(doc_id: str = "doc_id"):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush():
-        found = np.concatenate(held)
-        found.sort()
-        at = _runs(found)
-        n, own, c, sampled = np.diff(np.r_[at, len(found)]), found[at] >> 2, found[at] & 1, (found[at] >> 1 & 1).astype(np.int32)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(sampled), pa.array(np.where(c == 0, n, 0)), pa.array(np.where(c == 1, n, 0))], names=["word", "sampled", "ordinary", "toxic"])
-
+    """Grams with their counts in ordinary and toxic texts, for the sample and the other rows apart; summed over about a million grams at a time."""
     for batch in batches:
+        kinds: dict[int, list[str]] = {}
         for text, toxic, sampled in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "sampled")), strict=True):
-            held.append(words(text or "")[0] << 2 | sampled << 1 | toxic)
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield flush()
-                size = 0
-    if held:
-        yield flush()
+            kinds.setdefault(2 * sampled + toxic, []).append(text or "")
+        found = [(grams(part)[0] << 2 | kind) for kind, texts in kinds.items() for part, _ in pieces(texts)]
+        own, n = _sums(np.concatenate(found), np.ones((1, sum(map(len, found))), np.int64)) if found else (np.empty(0, np.int64), np.empty((1, 0), np.int64))
+        toxic = own & 1 == 1
+        yield pa.RecordBatch.from_arrays([pa.array(own >> 2), pa.array((own >> 1 & 1).astype(np.int32)), pa.array(np.where(toxic, 0, n[0])), pa.array(np.where(toxic, n[0], 0))], names=["gram", "sampled", "ordinary", "toxic"])
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, counts = batch.column("word").to_numpy(), np.stack([batch.column(c).to_numpy() for c in ("ordinary", "toxic")])
-        parts = [(rest[at], counts[:, at]) for at, rest in grams(found)]
-        own, n = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts], axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.ascontiguousarray(n[0])), pa.array(np.ascontiguousarray(n[1]))], names=["gram", "ordinary", "toxic"])
+COUNTS = "gram long, sampled int, ordinary long, toxic long"
 
 
 def gram_evidence(counted: DataFrame) -> DataFrame:
-    """(gram, value, rest), stored, of all words of a table (word, ordinary, toxic): what Model computes, as joins. A context or suffix has at most 256 rows."""
-    known = stored(counted.mapInArrow(_gram_counts, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    levels = [known.select(F.col("gram").alias("own"), (F.col("ordinary") + F.col("toxic")).alias("n"))]
+    """(level, gram, value, rest), stored, of all grams of a table (gram, ordinary, toxic): what Model computes, as joins. A context or suffix has at most 256 rows."""
+    levels = [stored(counted.select("gram", "ordinary", "toxic", (F.col("ordinary") + F.col("toxic")).alias("kept")))]
     for order in range(ORDER - 1, 0, -1):
-        levels.append(stored(levels[-1].select(F.col("own").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n"))))
-    p = None
+        shorter = levels[-1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram"), "ordinary", "toxic")
+        levels.append(stored(shorter.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("kept"))))
+    sums = levels[0].agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).first()
+    context, p, out = Window.partitionBy(F.shiftright("gram", 8)), None, []
     for order, level in enumerate(reversed(levels), 1):
-        context = Window.partitionBy(F.shiftright("own", 8))
-        rows = level.select("own", "n", F.sum("n").over(context).alias("total"), F.count(F.lit(1)).over(context).alias("kinds"), F.col("own").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)).alias("suffix"))
-        rows = rows.withColumn("p", F.lit(1 / 256)) if p is None else rows.join(p.select(F.col("own").alias("suffix"), "p").hint("merge"), "suffix")
-        above = stored(rows.select("own", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")).alias("p")))
-        discard(*([] if p is None else [p]))
+        rows = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)))
+        if p is None:
+            rows = rows.select("*", F.lit(1 / 256).alias("lower_ordinary"), F.lit(1 / 256).alias("lower_toxic"))
+        else:
+            rows = rows.join(p.select(F.col("gram").alias("suffix"), F.col("p_ordinary").alias("lower_ordinary"), F.col("p_toxic").alias("lower_toxic")).hint("merge"), "suffix")
+        if order <= SHARED:
+            some = (F.col("kept") - DISCOUNT + DISCOUNT * F.count(F.lit(1)).over(context) * F.col("lower_ordinary")) / F.sum("kept").over(context)
+            rows = rows.withColumn("p_ordinary", some).withColumn("p_toxic", F.col("p_ordinary")).select("gram", "p_ordinary", "p_toxic")
+        else:
+            for c in ("ordinary", "toxic"):
+                scale = min(sums.ordinary, sums.toxic) / sums[c]
+                room = DISCOUNT * scale * F.sum((F.col(c) > 0).cast("long")).over(context) + STRENGTH
+                total = F.sum(c).over(context) * F.lit(scale) + STRENGTH
+                rows = rows.withColumn(f"p_{c}", (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) * scale + room * F.col(f"lower_{c}")) / total).withColumn(f"room_{c}", F.log(room / total))
+            rows = rows.select("gram", "p_ordinary", "p_toxic", (F.col("room_toxic") - F.col("room_ordinary")).cast("float").alias("rest"))
+        above = stored(rows)
+        if order > SHARED:
+            out.append(above.select(F.lit(order).alias("level"), "gram", (F.log("p_toxic") - F.log("p_ordinary")).cast("float").alias("value"), "rest"))
+        elif p is not None:
+            discard(p)
         p = above
-    sums = known.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).first()
-    context = Window.partitionBy(F.shiftright("gram", 8))
-    rows = known.join(p.select(F.col("own").alias("gram"), "p").hint("merge"), "gram")
-    logs, unseen = [], []
-    for c in ("ordinary", "toxic"):
-        scale = min(sums.ordinary, sums.toxic) / sums[c]
-        room = DISCOUNT * scale * F.sum((F.col(c) > 0).cast("long")).over(context) + STRENGTH
-        total = F.sum(c).over(context) * F.lit(scale) + STRENGTH
-        unseen.append(F.log(room / total))
-        logs.append(F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) * scale + room * F.col("p")) / total))
-    out = stored(rows.select("gram", (logs[1] - logs[0]).cast("float").alias("value"), (unseen[1] - unseen[0]).cast("float").alias("rest")))
-    discard(known, p, *levels[1:])
-    return out
-
-
-def made(counted: DataFrame) -> Model | Blocks | None:
-    """The model of a stored table (word, ordinary, toxic); None without words of both classes."""
+    found = stored(reduce(DataFrame.unionByName, out))
+    discard(*levels)
+    return found
+
+
+def made(counted: DataFrame) -> Model | None:
+    """The model of a stored table (gram, ordinary, toxic), one row a gram; None without words of both classes."""
     size = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("ordinary"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     if not size.ordinary or not size.toxic:
         return None
-    if size.n <= MOST_WORDS:
-        table = counted.toArrow()  # MOST_WORDS rows at most
-        return Model(*(table.column(c).to_numpy() for c in ("word", "ordinary", "toxic")))
+    if size.n <= MOST_GRAMS:
+        table = counted.toArrow()  # MOST_GRAMS rows at most
+        gram, ordinary, toxic = (table.column(c).to_numpy() for c in ("gram", "ordinary", "toxic"))
+        by = np.argsort(gram)
+        return Model(gram[by], ordinary[by], toxic[by])
     rows = gram_evidence(counted)
-    n = math.ceil(rows.count() / MOST_WORDS)
-    block = F.shiftright("gram", 8) % 1_000_003 % n
-    shipped = [counted.sparkSession.sparkContext.broadcast(Model.of_table(rows.where(block == i).toArrow())) for i in range(n)]  # about MOST_WORDS rows each
+    n = math.ceil(rows.count() / MOST_GRAMS)
+    block = F.pmod(F.xxhash64("level", F.shiftright("gram", 8)), F.lit(n))
+    shipped = [counted.sparkSession.sparkContext.broadcast(Model.of_table(rows.where(block == i).toArrow())) for i in range(n)]  # about MOST_GRAMS rows each
     discard(rows)
     return Blocks(shipped)
 
@@ -300,39 +326,36 @@ def _features(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model if isinstance(model, Blocks) else model.value)
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            found, at = [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < CHUNK):
-                    size += len(texts[to])
-                    to += 1
-                found.append(scorer.features(texts[at:to]))
-                at = to
-            f = np.concatenate(found) if found else np.zeros((0, 3))
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(3))], names=[*(c for c in batch.schema.names if c != "text"), "mean_evidence", "top_word", "strong_share"])
+            f = scorer.features(pc.fill_null(batch.column("text"), "").to_pylist())
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(3))], names=[*rest, *FEATURES])
 
     return run
 
 
-KINDS = "mean_evidence double, top_word double, strong_share double"
+KINDS = ", ".join(f"{c} double" for c in FEATURES)
+
+
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of ids whose labels, of those that are 0 or 1, are all the same."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_least"), F.max(label).cast("int").alias(label))
+    return rows.where(F.col("_least") == F.col(label)).drop("_least")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Blocks | None, Model | Blocks | None, DataFrame, float]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, Model | None, DataFrame, float]:
     """The model of all training rows, the model without the sample, the sample for the logistic weights, and the share of toxic labels. Fold 0 is never read."""
-    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = agreed(labels, "toxic")
     known = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id").withColumn("fold", fold()).where("fold <> 0").withColumn("h", F.xxhash64("doc_id"))
     n = marked.withColumn("fold", fold()).where("fold <> 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     edge = known.where("fold = 1").select("h").orderBy("h").limit(MOST_CALIBRATION_ROWS).agg(F.max("h")).first()[0]
     sampled = F.coalesce((F.col("fold") == 1) & (F.col("h") <= F.lit(edge).cast("long")), F.lit(False))
     known = known.withColumn("sampled", sampled.cast("int"))
-    counted = known.select("text", "toxic", "sampled").mapInArrow(_count, "word long, sampled int, ordinary long, toxic long").groupBy("word", "sampled").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    counted = stored(counted)
-    rest = made(counted.where("sampled = 0").select("word", "ordinary", "toxic"))
+    sums = F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")
+    counted = stored(known.select("text", "toxic", "sampled").mapInArrow(_count, COUNTS).groupBy("gram", "sampled").agg(*sums))
+    rest = made(counted.where("sampled = 0").select("gram", "ordinary", "toxic"))
     model = None
     if rest:
-        both = stored(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+        both = stored(counted.groupBy("gram").agg(*sums))
         model = made(both)
         discard(both)
     discard(counted)
@@ -340,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Blocks | None, Mo
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, mean_evidence, top_word, strong_share) for each row of docs."""
+    """(doc_id, held_out, score, predicted, mean_evidence, top_word, strong_words) for each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -351,13 +374,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
         shipped = ship(model)
         bounded = calibration.mapInArrow(_features(ship(rest)), f"doc_id long, toxic int, h long, {KINDS}")
         rows = bounded.orderBy("h", "doc_id", "mean_evidence").limit(MOST_CALIBRATION_ROWS).toArrow()
-        x = np.stack([rows.column(c).to_numpy() for c in ("mean_evidence", "top_word", "strong_share")], axis=1)
+        x = np.stack([rows.column(c).to_numpy() for c in FEATURES], axis=1)
         weights = fit_logistic(x, rows.column("toxic").to_numpy())
     if weights is None:
-        out = docs.select("doc_id", F.lit(float(share)).alias("score"), *[F.lit(0.0).alias(c) for c in ("mean_evidence", "top_word", "strong_share")])
+        out = docs.select("doc_id", F.lit(float(share)).alias("score"), *[F.lit(0.0).alias(c) for c in FEATURES])
     else:
         z = F.lit(float(weights[0]))
-        for w, c in zip(weights[1:], ("mean_evidence", "top_word", "strong_share"), strict=True):
+        for w, c in zip(weights[1:], FEATURES, strict=True):
             z = z + F.lit(float(w)) * F.col(c)
         out = docs.mapInArrow(_features(shipped), f"doc_id long, {KINDS}").withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "mean_evidence", "top_word", "strong_share")
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *FEATURES)
