@@ -1,4 +1,4 @@
-"""Small logistic fits on the driver, over bounded samples."""
+"""Small logistic fits on the driver, over bounded samples. Inputs hold no NaN; without rows or without both classes fit_logistic gives None, and callers do not fit."""
 
 from __future__ import annotations
 

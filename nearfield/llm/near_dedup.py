@@ -1,17 +1,17 @@
 """Near-duplicate documents by MinHash bands, odd sketches and exact confirmation.
 
 A document is the set of its distinct word shingles. Documents with equal sets are one class, compared once. Classes that share
-a MinHash band meet in a bucket; there, odd sketches (MinHash samples folded into a bitmap of parities, so that the bits in
-which two bitmaps differ tell how many samples differ) pick pairs worth a look, and the full sets confirm them. Each task
+a MinHash band meet in a bucket, with their odd sketches (MinHash samples folded into a bitmap of parities, so that the bits in
+which two bitmaps differ tell how many samples differ) but without their texts. Sketches pick pairs worth a look; then the texts of these pairs' classes are fetched, and the full sets confirm them. Each task
 gives a spanning forest of its confirmed links, never all pairs: connections are what the result is made of, and a forest has all of
 them. Components come from the forests.
 
 Bands: enough that a link at the threshold is missed by all of them with a chance below MISS. Sketches: a pair is left out only if its
 sample estimate lies six standard deviations under the threshold.
 
-Scale: one pass over the texts gives 16-byte set keys and bands. Copies of a set are folded before anything is joined. A bucket is
-dealt out in blocks of about BLOCK classes, and two blocks meet in one task, so no bucket, however large, is gathered; buckets with
-the same members are taken once, and a pair is looked at in its first shared band only. Texts move once, and again for classes in a bucket.
+Scale: one pass over the texts gives 16-byte set keys, bands and 64-byte sketches. Copies of a set are folded before anything is joined. A bucket is
+dealt out in blocks of about BLOCK classes and at most about BLOCK_SHINGLES shingles, and two blocks meet in one task, so no bucket, however large, is gathered; buckets with
+the same members are taken once, and a pair is looked at in its first shared band only. Texts move once, and again for classes whose sketch is near another's, to the block pairs where it is.
 A class of very many copies learns its component in parts.
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id is dropped. Repeated doc_ids: each row is kept, and
@@ -36,7 +36,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-6
 SAMPLES = 128
 SKETCH_BITS = 512
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 CHUNK = 1024
 THRESHOLD = 0.8
 
@@ -73,9 +73,9 @@ def most_differing_bits(threshold: float) -> int:
 
 def _digest(shingle_words: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, minhash = Shingler(shingle_words), MinHasher(bands * ROWS_PER_BAND)
+        shingler, minhash = Shingler(shingle_words), MinHasher(SAMPLES)
         for batch in batches:
-            sizes, low, high, rows = [], [], [], []
+            sizes, low, high, rows, sketches = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingler.distinct(text)
                 sizes.append(len(found))
@@ -83,11 +83,14 @@ def _digest(shingle_words: int, bands: int):
                 low.append((key & (1 << 64) - 1) - (1 << 63))
                 high.append((key >> 64) - (1 << 63))
                 if len(found):
-                    minima = minhash(found).reshape(bands, ROWS_PER_BAND)
-                    rows.append([xxhash.xxh3_64_intdigest(m.tobytes(), seed=b) - (1 << 63) for b, m in enumerate(minima)])
+                    minima = minhash(found)
+                    own = minima[: bands * ROWS_PER_BAND].reshape(bands, ROWS_PER_BAND)
+                    rows.append([xxhash.xxh3_64_intdigest(m.tobytes(), seed=b) - (1 << 63) for b, m in enumerate(own)])
+                    sketches.append(odd_sketch(minima).tobytes())
                 else:
                     rows.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                    sketches.append(b"")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     return run
 
@@ -110,55 +113,90 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _links(shingle_words: int, bands: int, percent: int):
+MEMBER = "doc_id long, bkey long, bi int, bj int, side int, band int, bands array<long>, sketch binary"
+MEMBERS = [c.split()[0] for c in MEMBER.split(", ")]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each pair of blocks; rows arrive in order of (bkey, bi, bj)."""
+    key, held = None, []
+    for batch in batches:
+        for own, row in zip(zip(*(batch.column(c).to_pylist() for c in ("bkey", "bi", "bj")), strict=True), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if own != key:
+                if len(held) > 1:
+                    yield held
+                key, held = own, []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def near_sketches(sides: np.ndarray, split: bool, band: int, bands: list, sketches: list[bytes], most: int) -> np.ndarray:
+    """(differing bits, i, j) of pairs whose sketches are near and that share no earlier band; in a split pair of blocks, of one row from each."""
+    bits, rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1), np.array(bands)[:, :band]
+    found = []
+    for i in range(len(sketches) - 1):
+        far = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
+        ok = far <= most
+        if split:
+            ok &= sides[i + 1 :] != sides[i]
+        if band:
+            ok &= ~(rows[i + 1 :] == rows[i]).any(axis=1)
+        at = np.flatnonzero(ok)
+        found.append(np.stack([far[at].astype(np.int64), np.full(len(at), i), at + i + 1], axis=1))
+    return np.concatenate(found)
+
+
+def _near(held: list[tuple], at: int, most: int) -> np.ndarray:
+    """near_sketches of rows that have bi, bj, side, band, bands and sketch from column at."""
+    bi, bj, sides, band, bands, sketches = zip(*(r[at : at + 6] for r in held), strict=True)
+    return near_sketches(np.array(sides), bi[0] != bj[0], band[0], bands, sketches, most)
+
+
+def _candidates(percent: int):
+    """Members that have a pair worth a look in their pair of blocks."""
     most = most_differing_bits(percent / 100)
-
-    def forest(ids, texts, sides, split, band, tools):
-        shingler, minhash = tools
-        sets = [shingler.distinct(t) for t in texts]
-        minima = np.stack([minhash(s) for s in sets])
-        rows = minima[:, : bands * ROWS_PER_BAND].reshape(len(sets), bands, ROWS_PER_BAND)
-        sketches = np.stack([odd_sketch(m) for m in minima])
-        found = []
-        for i in range(len(ids) - 1):
-            ok = np.ones(len(ids) - i - 1, bool) if not split else sides[i + 1 :] != sides[i]
-            if band:
-                ok &= ~(rows[i + 1 :, :band] == rows[i, :band]).all(axis=2).any(axis=1)
-            far = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1)
-            ok &= far <= most
-            at = np.flatnonzero(ok)
-            found.append(np.stack([far[at].astype(np.int64), np.full(len(at), i), at + i + 1], axis=1))
-        pairs = np.concatenate(found)
-        trees, out = _Forest(len(ids)), []
-        for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-            a, b = trees.root(i), trees.root(j)
-            if a != b and _linked(sets[i], sets[j], percent):
-                trees.up[a] = b
-                out.append((ids[i], ids[j]))
-        return out
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Shingler(shingle_words), MinHasher(SAMPLES)
-        key, held, out = None, [], []
+        out = []
 
-        def close():
-            if len(held) > 1:
-                ids, texts, sides, band = zip(*held, strict=True)
-                out.extend(forest(ids, texts, np.array(sides), key[1] != key[2], band[0], tools))
-            held.clear()
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=MEMBERS)
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bkey", "bi", "bj", "doc_id", "text", "side", "band")), strict=True):
-                if row[:3] != key:
-                    close()
-                    key = row[:3]
-                held.append(row[3:])
+        for held in _groups(batches, MEMBERS):
+            out.extend(held[i] for i in np.unique(_near(held, 2, most)[:, 1:]))
+            if len(out) > 5000:
+                yield flush()
+                out = []
+        if out:
+            yield flush()
+
+    return run
+
+
+def _links(shingle_words: int, percent: int):
+    most = most_differing_bits(percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, out = Shingler(shingle_words), []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for held in _groups(batches, ["doc_id", "text", *MEMBERS[2:]]):
+            pairs = _near(held, 2, most)
+            sets, trees = [shingler.distinct(r[1]) for r in held], _Forest(len(held))
+            for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+                a, b = trees.root(i), trees.root(j)
+                if a != b and _linked(sets[i], sets[j], percent):
+                    trees.up[a] = b
+                    out.append((held[i][0], held[j][0]))
             if len(out) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+                yield flush()
                 out = []
-        close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            yield flush()
 
     return run
 
@@ -169,20 +207,22 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     bands = bands_for(percent / 100)
-    signed = stored(docs.mapInArrow(_digest(shingle_words, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    signed = stored(docs.mapInArrow(_digest(shingle_words, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
     full = signed.where("n_shingles > 0")
-    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    dealt = classes.select("rep", F.posexplode("bands").alias("band", "bkey")).withColumn("bkey", F.xxhash64("band", "bkey"))
-    buckets = dealt.groupBy("bkey").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum((F.xxhash64("rep", F.lit(1)) % 1000003).cast("long")).alias("check"), F.min("band").alias("band")).where("n > 1")
-    first = buckets.groupBy("n", "members", "check").agg(F.min(F.struct("band", "bkey")).alias("b")).select("n", "b.bkey")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = dealt.join(first, "bkey").select("bkey", "band", F.col("rep").alias("doc_id"), blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")))
+    dealt = classes.select("rep", "size", F.posexplode("bands").alias("band", "bkey")).withColumn("bkey", F.xxhash64("band", "bkey"))
+    buckets = dealt.groupBy("bkey").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum((F.xxhash64("rep", F.lit(1)) % 1000003).cast("long")).alias("check"), F.min("band").alias("band")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    first = buckets.groupBy("n", "size", "members", "check").agg(F.min(F.struct("band", "bkey")).alias("b")).select(blocks.alias("blocks"), "b.bkey")
+    member = dealt.drop("size").join(first, "bkey").withColumnRenamed("rep", "doc_id").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("doc_id", "bkey", "band", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"))
-    texts = docs.join(member, "doc_id")
-    links = texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, bands, percent), "u long, v long")
+    member = member.join(classes.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id").select(MEMBERS)
+    near = member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER)
+    texts = docs.join(near, "doc_id")
+    links = texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, percent), "u long, v long")
     found = components(links)
     named = classes.select("k1", "k2", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    named = spread_join(full, named, ["k1", "k2"], ["doc_id"], classes).select("doc_id", "n_shingles", "component_id")
+    named = spread_join(full.drop("bands", "sketch"), named, ["k1", "k2"], ["doc_id"], classes).select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))

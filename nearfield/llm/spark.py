@@ -1,4 +1,7 @@
-"""Session helpers: bounded Arrow batches, and tables in the folder that all executors share."""
+"""Session helpers: bounded Arrow batches, and tables in the folder that all executors share.
+
+Nulls and empty tables are stored as they are. Join keys of spread_join and nodes of components must not be null; null keys join with nothing.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +24,28 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a local temporary folder."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster it is an error, as executors share no local folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/nearfield/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/nearfield/{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that this session's operators have stored. Frames that were made before cannot be read afterwards."""
+    _remove(spark, _own_folder(spark))
 
 
 def stored(frame: DataFrame) -> DataFrame:
@@ -42,9 +61,7 @@ def discard(*frames: DataFrame) -> None:
     """Remove stored tables that no later plan reads."""
     for frame in frames:
         if path := getattr(frame, "_stored_at", None):
-            spark = frame.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(frame.sparkSession, path)
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread_by: list[str], sizes: DataFrame | None = None) -> DataFrame:
