@@ -1,33 +1,34 @@
 """Document fingerprints by winnowing. DataFrame operations only.
 
-Units are words; a text of up to SHORT characters also has a fine fingerprint whose units are characters. Unit hashes are rolled up to
+Units are words; a word of more than LONG characters, as unspaced scripts and encoded data have, is taken as its characters. A text of up to SHORT characters also has a fine fingerprint whose units are characters. Unit hashes are rolled up to
 hashes of k units, two at a time, by doubling; in each window of w successive hashes the smallest is chosen, the rightmost of equal ones, again by doubling.
-A hash and its position share one 64-bit value, so the smallest value is the smallest hash at the rightmost place. Any w + k - 1 units that two
+Low bits of a hash and its position share one 64-bit value, so the smallest value is the smallest hash at the rightmost place; the chosen places then give the whole 64-bit hashes. Any w + k - 1 units that two
 texts have in common give them a common choice. A text with fewer than k units is one hash; one with fewer than w hashes is one window.
 
 Likeness of two fingerprints: Jaccard similarity of their hashes, fine ones if both texts are short, else those of words.
 
-Scale: fingerprints are made where texts are read. Neighbours in id order come from windows over groups of about GROUP ids whose bounds are approximate quantiles
-of doc_id; each group also holds the first row of the next one, so texts move once and no window spans the table.
+Scale: texts move once. Neighbours in id order come from windows over groups of at most GROUP rows (more only beyond MOST_GROUPS groups), whose bounds are exact: ids
+and text hashes alone are sorted and numbered first. Each group also holds the first row of the next one, so no window spans the table, and the number of tasks follows the number of groups. Fingerprints are made in the groups.
 
-A null text counts as empty; empty texts have a fingerprint of their own. A null doc_id comes last. Repeated ids follow each other by text. A single
+A null text counts as empty; empty texts have a fingerprint of their own. A null doc_id comes last. Repeated ids follow each other by hash of the text, then by text; rows that repeat both stay in one group. A single
 document is its own neighbour. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm.spark import stored
+
 # k is a power of two for doubling, and so is w.
 K_WORDS, W_WORDS = 4, 16
 K_CHARS, W_CHARS = 8, 8
-SHORT = 512
+SHORT, LONG = 1024, 20
 POSITION_BITS = 27
-GROUP = 1000
-MOST_BOUNDS = 1023
+GROUP, MOST_GROUPS = 1000, 100_000
+GROUPS_PER_TASK = 4
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def _paired(rows: DataFrame, name: str, step: int, join) -> DataFrame:
@@ -37,48 +38,49 @@ def _paired(rows: DataFrame, name: str, step: int, join) -> DataFrame:
 
 
 def _chosen(rows: DataFrame, units: str, name: str, k: int, w: int) -> DataFrame:
-    """Column name: the winnowed (hash, position) values of the unit hashes in column units, in order of position."""
-    n = f"{name}_n"
-    rows = rows.withColumn(n, F.size(units)).withColumn(name, F.col(units))
+    """Column name: the winnowed hashes of the unit hashes in column units, in order of position; name_at: their positions."""
+    n, grams = f"{name}_n", f"{name}_grams"
+    rows = rows.withColumn(n, F.size(units)).withColumn(grams, F.col(units))
     step = 1
     while step < k:
-        rows = _paired(rows, name, step, lambda x, y: F.xxhash64(x, y))
+        rows = _paired(rows, grams, step, lambda x, y: F.xxhash64(x, y))
         step *= 2
-    rows = rows.withColumn(name, F.when(F.col(n) < k, F.array(F.xxhash64(units))).otherwise(F.col(name)))
-    keep = (1 << (63 - POSITION_BITS)) - 1
-    rows = rows.withColumn(name, F.transform(F.slice(name, 1, F.greatest(F.col(n) - k + 1, F.lit(1))), lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(keep)), POSITION_BITS).bitwiseOR(F.lit((1 << POSITION_BITS) - 1) - i)))
+    rows = rows.withColumn(grams, F.when(F.col(n) < k, F.array(F.xxhash64(units))).otherwise(F.slice(grams, 1, F.greatest(F.col(n) - k + 1, F.lit(1)))))
+    keep, last = (1 << (63 - POSITION_BITS)) - 1, (1 << POSITION_BITS) - 1
+    rows = rows.withColumn(name, F.transform(grams, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(keep)), POSITION_BITS).bitwiseOR(F.lit(last) - i)))
     step = 1
     while step < w:
         rows = _paired(rows, name, step, lambda x, y: F.least(x, y))
         step *= 2
     windows = F.greatest(F.size(name) - w + 1, F.lit(1))
-    return rows.withColumn(name, F.array_distinct(F.slice(name, 1, windows))).drop(n)
+    at = F.transform(F.array_distinct(F.slice(name, 1, windows)), lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last))).cast("int"))
+    rows = rows.withColumn(f"{name}_at", at)
+    return rows.withColumn(name, F.transform(f"{name}_at", lambda i: F.get(grams, i))).drop(n, grams)
 
 
 def with_fingerprints(rows: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds <prefix>words and <prefix>chars: arrays of (hash << 27 | 2**27 - 1 - position). chars is null for texts of more than SHORT characters."""
-    rows = rows.withColumn("_w", F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda u: F.xxhash64(u)))
+    """Adds <prefix>words and <prefix>chars, arrays of hashes, and <prefix>words_at and <prefix>chars_at, their positions in units from 0. chars is null for texts of more than SHORT characters."""
+    unit = lambda u: F.xxhash64(u)
+    words = F.split(text, SPACES)
+    single = F.flatten(F.transform(words, lambda u: F.when(F.length(u) > LONG, F.split(u, "")).otherwise(F.array(u))))
+    rows = rows.withColumn("_w", F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]{%d}" % (LONG + 1)), F.transform(single, unit)).otherwise(F.transform(words, unit)))
     rows = _chosen(rows, "_w", f"{prefix}words", K_WORDS, W_WORDS).drop("_w")
     short = F.length(text) <= SHORT
-    rows = rows.withColumn("_c", F.when(short, F.transform(F.split(text, ""), lambda u: F.xxhash64(u))))
+    rows = rows.withColumn("_c", F.when(short, F.transform(F.split(text, ""), unit)))
     rows = _chosen(rows, "_c", f"{prefix}chars", K_CHARS, W_CHARS).drop("_c")
     return rows.withColumn(f"{prefix}chars", F.when(short, F.col(f"{prefix}chars")))
 
 
-def hashes(values: Column) -> Column:
-    return F.array_distinct(F.transform(values, lambda x: F.shiftright(x, POSITION_BITS)))
-
-
-def positions(values: Column) -> Column:
-    """[(hash, position)]; position counts units from 0."""
-    return F.transform(values, lambda x: F.struct(F.shiftright(x, POSITION_BITS).alias("hash"), (F.lit((1 << POSITION_BITS) - 1) - x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))).alias("position")))
+def positions(rows: str) -> Column:
+    """[(hash, position)] of the fingerprint in column rows."""
+    return F.arrays_zip(F.col(rows).alias("hash"), F.col(f"{rows}_at").alias("position"))
 
 
 def likeness(a: str, b: str) -> Column:
     """Of the fingerprints with prefixes a and b."""
 
     def jaccard(x, y):
-        x, y = hashes(F.col(x)), hashes(F.col(y))
+        x, y = F.array_distinct(x), F.array_distinct(y)
         both = F.size(F.array_intersect(x, y))
         return both / (F.size(x) + F.size(y) - both)
 
@@ -87,29 +89,37 @@ def likeness(a: str, b: str) -> Column:
 
 def as_string(prefix: str) -> Column:
     """Chosen hashes in hexadecimal, in order of position; the fine ones after a slash."""
-    text = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(F.shiftright(x, POSITION_BITS)))), " ")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(x))), " ")
     return F.concat(text(F.col(f"{prefix}words")), F.coalesce(F.concat(F.lit("/"), text(F.col(f"{prefix}chars"))), F.lit("")))
 
 
-def _groups(docs: DataFrame) -> Column:
-    """A number that grows with doc_id, shared by about GROUP rows: quantile ranges, cut into equal parts where there are more groups than bounds. Null ids: -1."""
-    n = docs.count()
-    wanted = max(1, math.ceil(n / GROUP))
-    ranges = min(wanted, MOST_BOUNDS + 1)
-    at = [i / ranges for i in range(ranges + 1)]
-    cuts = docs.agg(F.percentile_approx("doc_id", at, 10 * (MOST_BOUNDS + 1))).first()[0] or [0]
-    cuts = sorted(set(cuts))
-    parts = math.ceil(wanted / ranges)
+def _key() -> Column:
+    """doc_id and text hash as text that sorts like them; null ids first."""
+    rank = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(rank(F.col("doc_id")), F.lit("")), F.lit("/"), rank(F.xxhash64("text")))
+
+
+def _listed(keys: list[str]) -> Column:
+    return F.split(F.lit(",".join(keys)), ",")
+
+
+def _group(bounds: list[str]) -> Column:
+    """How many of the ascending bounds, less one, are at most the key: a binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(_listed(bounds), at + s - 1) <= F.col("_key"), at + s).otherwise(at))
+    return F.greatest(found - 1, F.lit(0))
 
-    def pick(low: int, high: int) -> Column:
-        """Binary search over the bounds as nested conditions."""
-        if high - low <= 1:
-            width = max(1, (cuts[min(high, len(cuts) - 1)] - cuts[low]) // parts)
-            return F.lit(low * parts) + F.greatest(F.lit(0), F.least(F.lit(parts - 1), ((F.col("doc_id") - cuts[low]) / width).cast("long")))
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") < cuts[middle], pick(low, middle)).otherwise(pick(middle, high))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(pick(0, len(cuts)).cast("long"))
+def _groups(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """The smallest key of each group of successive rows, and the largest."""
+    keys = docs.select(_key().alias("_key"))
+    ordered = stored(keys.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    step = max(GROUP, -(-ordered.count() // MOST_GROUPS))
+    bounds = sorted({r[0] for r in ordered.where(F.col("_at") % step == 0).select("_key").collect()})  # MOST_GROUPS and one a partition
+    if not bounds:
+        return [], []
+    tops = dict(ordered.groupBy(_group(bounds).alias("g")).agg(F.max("_key").alias("top")).collect())  # one a bound
+    return bounds, [tops[g] for g in range(len(bounds))]
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -117,14 +127,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the start of the next document's, in descending order of doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.withColumn("grp", _groups(docs))
-    first = rows.groupBy("grp").agg(F.min(F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("k"), "doc_id", "text")).alias("f"))
-    order = first.select("grp")
-    nearby = order.select("grp", F.lag("grp").over(Window.orderBy(F.desc("grp"))).alias("to"), F.min("grp").over(Window.partitionBy()).alias("last"))
-    nearby = nearby.select("grp", F.coalesce("to", "last").alias("to"))
-    guests = first.join(nearby, "grp").select(F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.col("to").alias("grp"), F.lit(1).alias("guest"))
-    rows = with_fingerprints(rows.withColumn("guest", F.lit(0)).unionByName(guests), "text", "own_")
-    by = Window.partitionBy("grp").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    bounds, tops = _groups(docs)
+    if not bounds:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[F.lit(0.0).alias(c) for c in ("near_edited", "near_next")]).limit(0)
+    rows = docs.withColumn("_key", _key()).withColumn("grp", _group(bounds))
+    own = F.struct("grp", F.lit(0).alias("guest"))
+    guest = F.struct(((F.col("grp") + 1) % len(bounds)).cast("int").alias("grp"), F.lit(1).alias("guest"))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("_key") == F.get(_listed(tops), F.col("grp")), F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "_key", "to.grp", "to.guest")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(bounds) // GROUPS_PER_TASK))
+    rows = with_fingerprints(rows.repartition(tasks, "grp"), "text", "own_").drop("own_words_at", "own_chars_at")
+    by = Window.partitionBy("grp").orderBy("guest", F.desc("_key"), "text")
     rows = rows.withColumn("n", F.lead(F.struct("text", "own_words", "own_chars")).over(by)).where("guest = 0")
     cut = F.floor(F.length("text") / 3).cast("int")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), F.length("text") - cut), F.substr("n.text", F.lit(1), cut)).alias("edited"), "own_words", "own_chars", F.col("n.own_words").alias("next_words"), F.col("n.own_chars").alias("next_chars"))
