@@ -7,7 +7,7 @@ partition's largest size. So a containing document, however long, must share a s
 document looks into the partitions that its own size allows, and an item whose sketch it meets is confirmed with the full sets.
 
 Scale: one pass over the documents without a shuffle. Items go to the tasks in blocks of at most BLOCK_BYTES of hashes, checked while they
-are fetched; a larger benchmark takes more passes. A very common passage costs each document its own confirmation only.
+are fetched; the driver holds one block at a time. A larger benchmark takes more passes, each of which is stored before the next block is fetched. A very common passage costs each document its own confirmation only.
 
 Nulls: a null text has no shingles and matches nothing; rows without an id are left out. An item with fewer words than a shingle
 takes is matched by documents that are the same word sequence. Repeated rows and items are each reported. Empty tables
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches
+from nearfield.llm.spark import bounded_batches, stored
 from nearfield.llm.text import Shingler, common, mix
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
@@ -111,5 +111,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     spark = docs.sparkSession
     bounded_batches(spark)
     there = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [there.mapInArrow(_search(block, percent, shingle_words), SCHEMA) for block in _blocks(benchmark, shingle_words)]
+    blocks, found = _blocks(benchmark, shingle_words), []
+    block = next(blocks, None)
+    while block:
+        rows = there.mapInArrow(_search(block, percent, shingle_words), SCHEMA)
+        block = next(blocks, None)
+        found.append(stored(rows) if block or found else rows)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)

@@ -123,3 +123,24 @@ def test_shingle_counts(text):
     words = text.encode().lower().split()
     want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
     assert len(Shingler().distinct(text)) == len(want)
+
+
+def test_containment_of_odd_rows(spark):
+    text = "seven words are enough for this item"
+    docs = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (2, None, "d"), (3, "x y " * 30000 + text, "e")]
+    items = [(7, text, 1), (None, text, 2), (8, None, 3), (7, text, 4)]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, doc_id int"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 7)] * 4 + [(3, 7)] * 2
+
+
+def test_only_classes_with_a_near_sketch_need_their_texts():
+    import numpy as np
+
+    shingler, minhash = Shingler(), near_dedup.MinHasher(near_dedup.SAMPLES)
+    texts = [*near_copies(2, 7, 200, 2), *near_copies(1, 8, 200, 0), *near_copies(1, 9, 200, 0)]
+    sketches = [near_dedup.odd_sketch(minhash(shingler.distinct(t))).tobytes() for t in texts]
+    most = near_dedup.most_differing_bits(0.8)
+    near = lambda sides, split, band, bands: near_dedup.near_sketches(np.array(sides), split, band, bands, sketches, most)[:, 1:].tolist()
+    assert near([0] * 4, False, 0, [[1, 2]] * 4) == [[0, 1]]
+    assert near([0, 0, 1, 1], True, 0, [[1, 2]] * 4) == [] and near([0, 1, 0, 1], True, 0, [[1, 2]] * 4) == [[0, 1]]
+    assert near([0] * 4, False, 1, [[1, 2]] * 4) == [] and near([0] * 4, False, 1, [[1, 2], [3, 2], [4, 2], [5, 2]]) == [[0, 1]]
