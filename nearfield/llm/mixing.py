@@ -12,7 +12,8 @@ Scale: only (source, size) counts enter the iteration. Rounding runs in groups o
 document, so a hot source is many groups. Documents meet their source's target in a broadcast of checked size, or beyond it in a join that deals out hot sources. Results depend on the rows alone, not on their order or partitioning.
 
 A null text has size 0 and is taken 0 times its size. A null source is a source of its own. Rows equal in id, source and size are
-interchangeable, so ties change nothing. Extra columns pass through; their names must not be those of the result. An empty table gives an empty result.
+interchangeable, so ties change nothing. Other columns pass through if they are named in keep; names of the result's own columns are refused there. An empty table gives an empty result.
+Sums that steer the steps are of decimals, so neither order nor partitioning of the rows changes a bit of the result. A tilt that STEPS steps do not find is an error.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MOST = 3
 GROUP = 4096
 #: Up to so many sources their targets and tilts are broadcast; beyond, documents meet them in a join that deals out large sources.
 MOST_BROADCAST_SOURCES = 50_000
-STEPS = 60
+STEPS = 200
 CLOSE = 1e-9
 
 
@@ -42,6 +43,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def _exact_sum(term: Column) -> Column:
+    """Of terms rounded to eight decimals: the same in any order."""
+    return F.sum(term.cast("decimal(38,8)")).cast("double")
+
+
 def targets(counted: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, n_rows, target, full) from (source, size, n); full marks sources taken MOST times."""
     per = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_rows"))
@@ -61,7 +67,7 @@ def targets(counted: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def tilts(counted: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     """(source, tilt, unit) from (source, size, n): a document's rate is min(most, exp(tilt * size / unit))."""
     hist = counted.where("size > 0").select("source", "size", F.col("n").cast("double").alias("n"))
-    shape = hist.groupBy("source").agg(F.max("size").cast("double").alias("unit"), F.min("size").cast("double").alias("least"), F.sum(F.col("n") * F.col("size") * F.col("size")).alias("squares"))
+    shape = hist.groupBy("source").agg(F.max("size").cast("double").alias("unit"), F.min("size").cast("double").alias("least"), _exact_sum(F.col("n") * F.col("size") * F.col("size")).alias("squares"))
     state = aims.where("NOT full AND source_size > 0").join(shape, F.equal_null(aims["source"], shape["source"])).select(aims["source"], "source_size", "target", "unit", "least", "squares")
     need = F.log(F.col("target") / F.col("source_size"))
     edge = F.lit(math.log(most)) * F.col("unit") / F.col("least")
@@ -76,13 +82,13 @@ def tilts(counted: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
         sums = (
             h.join(s, F.equal_null(F.col("h.source"), F.col("s.source")))
             .groupBy("s.source", "target", "unit", "low", "high", "tilt")
-            .agg(F.sum(tokens * rate).alias("got"), F.sum(F.when(free < most, tokens * rate * F.col("size") / F.col("unit")).otherwise(0.0)).alias("slope"))
+            .agg(_exact_sum(tokens * rate).alias("got"), _exact_sum(F.when(free < most, tokens * rate * F.col("size") / F.col("unit")).otherwise(0.0)).alias("slope"))
         )
         low = F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low"))
         high = F.when(F.col("got") >= F.col("target"), F.col("tilt")).otherwise(F.col("high"))
         step = F.col("tilt") - (F.col("got") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
         new = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
-        done = F.abs(F.col("got") / F.col("target") - 1) <= CLOSE
+        done = (F.abs(F.col("got") / F.col("target") - 1) <= CLOSE) | (new == F.col("tilt"))  # a bracket without a number between its ends is as close as doubles come
         moved = sums.select("source", "target", "unit", low.alias("low"), high.alias("high"), F.when(done, F.col("tilt")).otherwise(new).alias("tilt"), done.alias("done"))
         after = stored(moved)
         open_ = after.where("NOT done").limit(1).count()
@@ -90,8 +96,8 @@ def tilts(counted: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
         state = after.drop("done")
         state._stored_at = after._stored_at
         if not open_:
-            break
-    return state.select("source", "tilt", "unit")
+            return state.select("source", "tilt", "unit")
+    raise ArithmeticError(f"tilts not found in {STEPS} steps")
 
 
 def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +119,9 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) and the columns named in keep, a row for each row of docs."""
+    own = {"doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"}
+    if clash := own & set(keep):
+        raise ValueError(f"columns of the result cannot be kept: {', '.join(sorted(clash))}")
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *[F.col(k).alias(f"kept_{k}") for k in keep])
     counted = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))

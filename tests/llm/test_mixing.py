@@ -38,7 +38,7 @@ def test_targets_and_taken(spark, scale):
         assert target[s] == pytest.approx(want[s], rel=1e-9)
         assert taken[s] == pytest.approx(want[s], rel=0.02)
     again = mixing.mixed(docs.repartition(7)).collect()
-    assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in rows)
+    assert sorted((r.doc_id, r.rate, r.copies) for r in again) == sorted((r.doc_id, r.rate, r.copies) for r in rows)
 
 
 def test_rates_are_exponential_tilts(spark):
@@ -82,3 +82,12 @@ def test_many_sources_are_joined(spark, monkeypatch):
     small = rows()
     monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", 0)
     assert rows() == small and len(small) == docs.count()
+
+
+def test_unfinished_tilts_and_clashing_columns_are_errors(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    with pytest.raises(ValueError, match="size"):
+        mixing.mixed(docs.withColumn("size", F.lit(1)), keep=("size", "lang"))
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.mixed(docs)
