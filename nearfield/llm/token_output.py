@@ -2,14 +2,15 @@
 
 Documents are dealt out by ranges of doc_id and sorted, so files are in ascending order and a lookup by doc_id reads few row groups and pages;
 lengths and positions are columns of their own and are read without the ids. Each file's rows know their position within the file (at);
-the file's own start follows from the lengths of the files before it, one number a file.
+the file's own start follows from the lengths of the files before it, one number a file. There is a file for every FILE_BYTES of text, and at least one a shuffle partition.
 
-A null text is an empty document: its end id alone. Null doc_ids come first. Repeated doc_ids are each written, ordered by
-text. Other columns are not read. An empty table gives no rows.
+A null text is an empty document: its end id alone. Null doc_ids come first. Repeated doc_ids are each written, ordered by hash of the
+text, then text, so that very many of them are not one range. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from nearfield.llm.tokens import DEFAULT_FILE, balanced, encoder_for
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
+#: Text of a file, about.
+FILE_BYTES = 128 << 20
 #: Up to so many files their starts (16 bytes each) are broadcast; beyond, they are joined like any table.
 MOST_BROADCAST_FILES = 100_000
 
@@ -47,7 +50,10 @@ def _encode(file: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, file: str = DEFAULT_FILE, end_id: int = 2, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
     bounded_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
+    ordered = rows.repartitionByRange(files, "doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash", "text").drop("row_hash")
     (
         ordered.mapInArrow(_encode(file, end_id), SCHEMA)
         .write.option("compression", "zstd")

@@ -76,3 +76,11 @@ def test_escape_rules(text):
     for a, b in reversed(chat.ESCAPES):
         out = out.replace(b, a)
     assert out == text
+
+
+def test_very_long_texts(spark):
+    long = "\\#<é </turn>\n" * 100_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, None, None), (None, 0, "user", "no id")]
+    r = chat.conversation_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(x.conv_id, x.n_turns, x.loss_chars, x.loss_sha256) for x in r] == [(1, 3, len(long), hashlib.sha256(long.encode()).hexdigest())]
+    assert r[0].turns_sha256 == hashlib.sha256(f"user\nq\nassistant\n{long}\n\n\n".encode()).hexdigest()

@@ -6,6 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nearfield.llm import token_output
@@ -80,7 +81,7 @@ def test_output_roundtrip(spark, library, tmp_path, source):
     token_output.write_tokens(docs.repartition(5), path, row_group_bytes=1 << 16, page_bytes=1 << 12)
     got = [tuple(r) for r in token_output.token_digests(spark, path).orderBy("doc_id", "start").collect()]
     want, at = [], 0
-    for doc_id, text in sorted(((r.doc_id, r.text or "") for r in docs.collect())):
+    for doc_id, text in ((r.doc_id, r.text or "") for r in docs.orderBy("doc_id", F.xxhash64("text"), "text").collect()):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -109,3 +110,17 @@ def test_file_format(spark, tmp_path):
     assert "EqualTo(doc_id,17)" in plan
     lengths = token_output.read_tokens(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in lengths.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_files_follow_bytes_and_many_files_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 1 << 14)
+    docs = spark.createDataFrame([(i if i < 300 else 7, "some words " * (i % 90), i, "x") for i in range(600)] + [(None, None, None, None)], "doc_id long, text string, part int, ids string")
+    path = f"{tmp_path}/ids"
+    token_output.write_tokens(docs, path)
+    files = [pq.read_table(f) for f in sorted(tmp_path.glob("ids/*.parquet"))]
+    assert len(files) > 9 and max(f.num_rows for f in files) < 300
+    read = lambda: [tuple(r) for r in token_output.token_digests(spark, path).orderBy("start").collect()]
+    small = read()
+    assert [r[1] for r in small] == np.cumsum([0, *(r[2] for r in small)])[:-1].tolist() and len(small) == 601
+    monkeypatch.setattr(token_output, "MOST_BROADCAST_FILES", 0)
+    assert read() == small
