@@ -41,7 +41,7 @@ PLACE_BITS = np.uint64((1 << 21) - 1)
 #: Entries of a batch, and of a task on average.
 BATCH_ENTRIES, TASK_ENTRIES = 4_000, 30_000
 #: An anchor string with more kinds of segments than this is busy. At most MOST_BUSY can be: the bound grows where there are more.
-BUSY_KINDS, MOST_BUSY = 50_000, 100_000
+BUSY_KINDS, MOST_BUSY = 5_000, 100_000
 SIGN = 1 << 63
 #: A window starts at most so many bytes before its anchor, less one.
 OFFSETS = LENGTH - GRAM + 1
