@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.functions import vectors as V
 from nearfield.plans.index import VectorIndex, build_index
 from nearfield.sources import files
 
+# The lengths that the interface takes, and the only similarity.
 MIN_DIMS, MAX_DIMS = 8, 4096
+SIMILARITY = "cosine"
+READERS = {".npy": files.read_npy, ".csv": files.read_csv}
+
+
+def _frame(spark: SparkSession, embeddings) -> DataFrame:
+    """Vectors as rows. Files are read by the executors."""
+    if isinstance(embeddings, DataFrame):
+        return embeddings
+    if isinstance(embeddings, str):
+        reader = next((r for end, r in READERS.items() if embeddings.endswith(end)), None)
+        if reader is None:
+            raise ValueError(f"a path must end in {' or '.join(READERS)}")
+        return reader(spark, embeddings)
+    if not isinstance(embeddings, list | np.ndarray):
+        raise TypeError("embeddings must be a list, an array, a frame or a path")
+    matrix = np.asarray(embeddings, dtype=np.float32)
+    if matrix.ndim != 2 or not matrix.size:
+        raise ValueError("embeddings must have two dimensions and at least one row")
+    return files.from_matrix(spark, matrix)
 
 
 class VectorSearch:
@@ -19,34 +39,16 @@ class VectorSearch:
         self.index, self.level = index, level
 
     @classmethod
-    def from_embeddings(cls, embeddings, level: str = "f32", similarity: str = "cosine", use_ann: bool = True, base_name: str = "default", base_dir: str = "nearfield_indexes", normalize_rows: bool = False, spark: SparkSession | None = None) -> VectorSearch:
-        """embeddings: list of lists, 2-D array, or the path of a .npy or .csv file. An index under base_dir/base_name/level is reused only if it holds the same data."""
-        if similarity != "cosine":
-            raise ValueError("similarity must be 'cosine'")
-        spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        if isinstance(embeddings, str):
-            if embeddings.endswith(".npy"):
-                matrix = np.load(embeddings)
-            elif embeddings.endswith(".csv"):
-                matrix = files.load_csv_matrix(embeddings)
-            else:
-                raise ValueError("a path must end in .npy or .csv")
-        elif isinstance(embeddings, list | np.ndarray):
-            matrix = embeddings
-        else:
-            raise TypeError("embeddings must be a list, an array or a path")
-        matrix = np.asarray(matrix, dtype=np.float32)
-        if matrix.ndim != 2:
-            raise ValueError("embeddings must have two dimensions")
-        if matrix.shape[0] < 1:
-            raise ValueError("at least one embedding is needed")
-        if not MIN_DIMS <= matrix.shape[1] <= MAX_DIMS:
-            raise ValueError(f"embeddings must have {MIN_DIMS} to {MAX_DIMS} values")
+    def from_embeddings(cls, embeddings, level: str = "f32", similarity: str = SIMILARITY, use_ann: bool = True, base_name: str = "default", base_dir: str | None = None, normalize_rows: bool = False, spark: SparkSession | None = None) -> VectorSearch:
+        """embeddings: list of lists, 2-D array, frame (vec_id, embedding), or the path of a .npy or .csv file. An index under base_dir/base_name/level is reused only if it holds the same data.
+
+        base_dir: a folder that the executors see; nearfield_indexes in the session's warehouse if not given."""
+        if similarity != SIMILARITY:
+            raise ValueError(f"similarity must be {SIMILARITY!r}")
         V.check_level(level)
-        try:
-            index = build_index(files.from_matrix(spark, matrix), f"{base_dir}/{base_name}/{level}", level, use_ann, normalize_rows, reuse=True)
-        except Exception as e:
-            raise RuntimeError(f"failed to build the index for level {level!r}: {e}") from e
+        spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        base_dir = base_dir or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/nearfield_indexes"
+        index = build_index(_frame(spark, embeddings), f"{base_dir}/{base_name}/{level}", level, use_ann, normalize_rows, reuse=True, least_dims=MIN_DIMS, most_dims=MAX_DIMS)
         return cls(index, level)
 
     def query(self, query_vector, top_k: int = 5, method: str = "simd") -> list[dict]:
@@ -56,9 +58,5 @@ class VectorSearch:
         q = np.asarray(query_vector, dtype=np.float32)
         if q.ndim != 1:
             raise ValueError("the query must have one dimension")
-        q = V.normalize_query(q, "facade")
-        try:
-            found = self.index.search(q, top_k, method=method).orderBy("rnk").collect()  # top_k rows
-        except Exception as e:
-            raise RuntimeError(f"search failed at level {self.level}: {e}") from e
-        return [{"idx": r.vec_id, "score": r.score} for r in found]
+        found = self.index.search(V.normalize_query(q, "facade"), top_k, method=method)
+        return [{"idx": r.vec_id, "score": r.score} for r in found.orderBy("rnk").collect()]  # top_k rows

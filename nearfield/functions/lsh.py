@@ -38,5 +38,10 @@ def signature(v: Column | str, planes: np.ndarray) -> Column:
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(sig, n, vec_ids): how many rows share a signature. For inspection; searches join on the sig column instead, so that no bucket is gathered."""
+    """(sig, n, first_vec_id): how many rows share a signature, and the least id. For inspection; searches never gather a bucket."""
     return signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_vec_id"))
+
+
+def members(signed: DataFrame) -> DataFrame:
+    """(sig, vec_id): the contents of the buckets, a row for each member, so that a bucket of any size can be listed."""
+    return signed.where("sig IS NOT NULL").select("sig", "vec_id")

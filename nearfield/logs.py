@@ -5,5 +5,7 @@ import os
 
 
 def setup() -> None:
+    """Called when the package is imported; call it again after the variable has changed."""
     level = os.environ.get("NEARFIELD_LOG", "off").upper()
-    logging.getLogger("nearfield").setLevel(logging.CRITICAL + 1 if level == "OFF" else level)
+    known = logging.getLevelNamesMapping()
+    logging.getLogger("nearfield").setLevel(known.get(level, logging.CRITICAL + 1))

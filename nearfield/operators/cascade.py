@@ -40,11 +40,13 @@ class Cascade:
     def get_vector(self, level: str, vec_id: int) -> list[float]:
         return self.indexes[level].get_vector(vec_id)
 
-    def dims(self) -> int:
-        return next(iter(self.indexes.values())).dims()
+    def dims(self) -> dict[str, int]:
+        """By level."""
+        return {level: index.dims() for level, index in self.indexes.items()}
 
-    def rows(self) -> int:
-        return next(iter(self.indexes.values())).rows()
+    def rows(self) -> dict[str, int]:
+        """By level."""
+        return {level: index.rows() for level, index in self.indexes.items()}
 
     def __repr__(self) -> str:
-        return f"Cascade(levels={', '.join(self.indexes)})"
+        return f"Cascade(levels={', '.join(self.indexes)}, ann={self.use_ann})"

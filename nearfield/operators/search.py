@@ -3,9 +3,10 @@
 Vectors: (vec_id BIGINT, embedding ARRAY<FLOAT>), optionally sig BIGINT. Queries: (qid BIGINT, q ARRAY<DOUBLE>).
 Results: (qid, rnk, vec_id, score), ranked by score descending and then vec_id ascending, so that ties are settled.
 
-Scale: an exact search is one pass over the vectors for each block of queries. A block is bounded (BLOCK_BYTES), goes to the
-tasks, and each task keeps k rows per query, so only tasks x queries x k rows are shuffled, never the scores.
-Rows with a null vector or id match nothing. Empty inputs and k = 0 give empty results.
+Scale: a search is one pass over the vectors, where they lie, for each block of queries. A block is bounded in bytes and in rows it can keep (BLOCK_BYTES, KEPT_ROWS), and the driver
+holds one at a time: it goes to the tasks, each task keeps k rows per query, so only tasks x queries x k rows are shuffled, never the vectors or all scores, and with more than one block each
+block's result is stored before the next one is fetched. Bucket search is the same pass, in which a row meets the queries of its own bucket only: a hot bucket is worked on by all tasks that hold its rows.
+Rows with a null vector or id match nothing, nor does a row whose score is not a number. Empty inputs and k = 0 give empty results.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
+from nearfield.plans.store import stored
 
 RESULT = "qid long, rnk int, vec_id long, score double"
 PARTIAL = "qid long, vec_id long, ord long, score double"
-#: Queries go to the tasks in blocks of up to this many bytes.
-BLOCK_BYTES = 8 << 20
+#: Queries go to the tasks in blocks of up to this many bytes, fewer where a task could keep more than KEPT_ROWS rows for them.
+BLOCK_BYTES, KEPT_ROWS = 8 << 20, 4 << 20
 #: Scores of a block are taken for up to this many rows at once.
 TILE_CELLS = 4 << 20
 
@@ -33,18 +35,40 @@ def queries_frame(spark: SparkSession, queries: dict[int, np.ndarray] | list) ->
     return spark.createDataFrame([(int(i), [float(x) for x in q]) for i, q in pairs], "qid long, q array<double>")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bounded blocks (ids, matrix) of a query table, fetched one partition at a time."""
-    ids, rows, held = [], [], 0
-    for r in queries.where("qid IS NOT NULL AND q IS NOT NULL").select("qid", "q").toLocalIterator():
-        ids.append(r.qid)
-        rows.append(np.asarray(r.q, dtype=np.float64))
-        held += rows[-1].nbytes
-        if held >= BLOCK_BYTES:
-            yield np.array(ids, dtype=np.int64), np.stack(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.stack(rows)
+class Block:
+    """Queries that go to the tasks together: ids, a matrix, and the buckets they ask for (none: all rows)."""
+
+    def __init__(self, rows: list[Row], in_buckets: bool):
+        self.ids = np.array([r.qid for r in rows], dtype=np.int64)
+        self.matrix = np.stack([np.asarray(r.q, dtype=np.float64) for r in rows])
+        self.sigs = np.array([r.sig for r in rows], dtype=np.int64) if in_buckets else None
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) that belong together, as positions."""
+        if self.sigs is None:
+            yield np.arange(len(self.ids)), np.arange(batch.num_rows)
+            return
+        sigs = batch.column("sig").fill_null(-1).to_numpy()  # no signature is negative
+        by = np.argsort(sigs, kind="stable")
+        edges = np.flatnonzero(np.diff(sigs[by])) + 1
+        for rows in np.split(by, edges):
+            asked = np.flatnonzero(self.sigs == sigs[rows[0]])
+            if len(asked):
+                yield asked, rows
+
+
+def query_blocks(queries: DataFrame, k: int, in_buckets: bool = False) -> Iterator[Block]:
+    """Bounded blocks of a query table, fetched one partition at a time."""
+    rows, held = [], 0
+    columns = ["qid", "q", "sig"] if in_buckets else ["qid", "q"]
+    for r in queries.dropna(subset=columns).select(columns).toLocalIterator():
+        rows.append(r)
+        held += 8 * len(r.q)
+        if held >= BLOCK_BYTES or len(rows) * k >= KEPT_ROWS:
+            yield Block(rows, in_buckets)
+            rows, held = [], 0
+    if rows:
+        yield Block(rows, in_buckets)
 
 
 def _keep_best(qi, vid, order, score, k):
@@ -63,34 +87,41 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _local_topk(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _near_best(rough: np.ndarray, k: int) -> np.ndarray:
+    """Which scores could be among the k best of their row; not those that are no numbers."""
+    number = ~np.isnan(rough)
+    if rough.shape[1] <= k:
+        return number
+    sunk = np.where(number, rough, -np.inf)
+    cut = np.partition(sunk, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+    slack = np.where(np.isfinite(cut), 1e-9 * (1 + np.abs(cut)), 0)
+    return number & (sunk >= (cut - slack)[:, None])
+
+
+def _local_topk(block: Block, k: int):
     """mapInArrow function: a task's k best rows for each query. The product of matrices only preselects; kept scores are summed row by row, so equal rows get equal scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        best = none
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for batch in batches:
-            rows, vid, order = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), batch.column("ord").to_numpy()
-            if not len(vid):
+            if not batch.num_rows:
                 continue
-            if rows.shape[1] != matrix.shape[1]:
-                raise ValueError(f"query has {matrix.shape[1]} dimensions, vectors have {rows.shape[1]}")
-            step = max(1, TILE_CELLS // len(ids))
-            for at in range(0, len(vid), step):
-                part = rows[at : at + step]
-                rough = matrix @ part.T
-                if rough.shape[1] > k:
-                    cut = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-                    near = rough >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]
-                else:
-                    near = np.ones(rough.shape, bool)
-                qi, ri = np.nonzero(near)
-                score = (matrix[qi] * part[ri]).sum(axis=1)
-                got = (qi, vid[at + ri], order[at + ri], score)
-                best = _keep_best(*(np.concatenate(x) for x in zip(best, got, strict=True)), k)
+            every, vid, order = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), batch.column("ord").to_numpy()
+            if every.shape[1] != block.matrix.shape[1]:
+                raise ValueError(f"query has {block.matrix.shape[1]} dimensions, vectors have {every.shape[1]}")
+            for asked, rows in block.parts(batch):
+                matrix, step = block.matrix[asked], max(1, TILE_CELLS // len(asked))
+                for at in range(0, len(rows), step):
+                    tile = rows[at : at + step]
+                    part = every[tile]
+                    qi, ri = np.nonzero(_near_best(matrix @ part.T, k))
+                    score = (matrix[qi] * part[ri]).sum(axis=1)
+                    there = ~np.isnan(score)
+                    got = (asked[qi][there], vid[tile[ri]][there], order[tile[ri]][there], score[there])
+                    best = _keep_best(*(np.concatenate(x) for x in zip(best, got, strict=True)), k)
         qi, vid, order, score = best
         if len(qi):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(vid), pa.array(order), pa.array(score)], names=["qid", "vec_id", "ord", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[qi]), pa.array(vid), pa.array(order), pa.array(score)], names=["qid", "vec_id", "ord", "score"])
 
     return run
 
@@ -109,10 +140,21 @@ def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, ordinal: str | No
     if k < 0:
         raise ValueError("k must not be negative")
     spark = vectors.sparkSession
-    order = F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long")
-    there = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), order.alias("ord"), "embedding")
-    blocks = [_rank(there.mapInArrow(_local_topk(ids, m, k), PARTIAL), k) for ids, m in query_blocks(queries)] if k else []
-    return reduce(DataFrame.unionByName, blocks) if blocks else _empty(spark)
+    return _search(vectors, queries, k, F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long"))
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, order: Column, in_buckets: bool = False) -> DataFrame:
+    columns = [F.col("vec_id").cast("long").alias("vec_id"), order.alias("ord"), "embedding", *(["sig"] if in_buckets else [])]
+    there = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(columns)
+    if k > KEPT_ROWS // 1000:
+        k = min(k, there.count())
+    blocks, found = query_blocks(queries, k, in_buckets) if k else iter(()), []
+    block = next(blocks, None)
+    while block:
+        rows = _rank(there.mapInArrow(_local_topk(block, k), PARTIAL), k)
+        block = next(blocks, None)
+        found.append(stored(rows) if block or found else rows)
+    return reduce(DataFrame.unionByName, found) if found else _empty(vectors.sparkSession)
 
 
 def normalized_queries(queries: DataFrame, strict: bool = True) -> DataFrame:
@@ -149,9 +191,8 @@ def candidates(signed: DataFrame, signed_queries: DataFrame) -> DataFrame:
 
 
 def topk_bucket(signed: DataFrame, signed_queries: DataFrame, k: int) -> DataFrame:
-    """k best in the query's own bucket; fewer, or none, if the bucket has no more."""
-    scored = candidates(signed, signed_queries).select("qid", "vec_id", F.lit(0).cast("long").alias("ord"), V.dot("q", "embedding").alias("score"))
-    return _rank(scored, k)
+    """k best in the query's own bucket; fewer, or none, if the bucket has no more. Vectors are not moved."""
+    return _search(signed, signed_queries, k, F.lit(0).cast("long"), in_buckets=True)
 
 
 def split_by_bucket(signed: DataFrame, signed_queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,13 @@
 """A vector index: a Parquet table (vec_id, embedding, sig) sorted by vec_id, and a one-row metadata table.
 
-The metadata hold the parameters and a fingerprint of the content, so an index is reused only for the data it was built from.
+The metadata hold the parameters and a fingerprint of the content, so an index is reused only for the data it was built from. Each build writes a folder of its own, its metadata last:
+a build that was interrupted has none and is never read. Older builds go when a newer one is complete.
 """
 
 from __future__ import annotations
 
 import logging
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,29 @@ from pyspark.sql import functions as F
 from nearfield.functions import lsh
 from nearfield.functions import vectors as V
 from nearfield.operators import search as S
+from nearfield.plans import store
 
 log = logging.getLogger("nearfield")
 
 
-def validate(vectors: DataFrame) -> tuple[int, int]:
-    """(rows, dims) in one aggregation. Nulls, NaN, infinities and differing lengths are errors that name the first bad vec_id."""
+class DimensionError(ValueError, RuntimeError):
+    """A query's length is not the index's."""
+
+
+def inspect(vectors: DataFrame, least: int = 1, most: int | None = None) -> tuple[int, int, str]:
+    """(rows, dims, fingerprint) in one aggregation. The fingerprint is a sum of row hashes: independent of the order of rows, no shuffle of vectors.
+
+    Nulls, NaN, infinities and differing lengths are errors that name the first bad vec_id; so are no rows and a length that is not from least to most."""
     width = F.size("embedding")
     odd = F.col("vec_id").isNull() | F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    got = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(width).alias("lo"), F.max(width).alias("hi"), F.min_by("vec_id", F.when(odd, F.coalesce("vec_id", F.lit(-1)))).alias("bad"), F.max(odd).alias("any_bad")).first()
+    got = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(width).alias("lo"),
+        F.max(width).alias("hi"),
+        F.min_by("vec_id", F.when(odd, F.coalesce("vec_id", F.lit(-1)))).alias("bad"),
+        F.max(odd).alias("any_bad"),
+        F.sum(F.xxhash64("vec_id", "embedding").cast("decimal(38,0)")).alias("content"),
+    ).first()
     if not got.n:
         raise ValueError("at least one vector is needed")
     if got.any_bad:
@@ -30,19 +46,14 @@ def validate(vectors: DataFrame) -> tuple[int, int]:
     if got.lo != got.hi:
         first = vectors.where(width != got.hi).agg(F.min("vec_id")).first()[0]
         raise ValueError(f"vectors differ in length: vec_id {first} has not {got.hi} values")
-    if got.lo == 0:
-        raise ValueError("vectors have no values")
-    return got.n, got.lo
-
+    if got.lo < least or most is not None and got.lo > most:
+        raise ValueError(f"vectors have {got.lo} values; from {least}{f' to {most}' if most else ''} are allowed")
+    return got.n, got.lo, str(got.content)
 
-def fingerprint(vectors: DataFrame) -> str:
-    """A sum of row hashes: independent of the order of rows, no shuffle of vectors."""
-    return str(vectors.agg(F.sum(F.xxhash64("vec_id", "embedding").cast("decimal(38,0)"))).first()[0])
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def validate(vectors: DataFrame) -> tuple[int, int]:
+    """(rows, dims); see inspect."""
+    return inspect(vectors)[:2]
 
 
 class VectorIndex:
@@ -68,7 +79,7 @@ class VectorIndex:
             return query
         query = np.asarray(query, dtype=np.float64)
         if query.shape != (self._dims,):
-            raise ValueError(f"the query has {query.size} values, the index {self._dims} dimensions")
+            raise DimensionError(f"the query has {query.size} values, the index {self._dims} dimensions")
         return S.queries_frame(self.vectors.sparkSession, [query])
 
     def unit_query(self, query, strict: bool = True) -> DataFrame:
@@ -101,15 +112,21 @@ class VectorIndex:
         return S.topk_subset(self.vectors, subset, queries, k)
 
 
-def build_index(vectors: DataFrame, path: str, level: str = "f32", use_ann: bool = True, normalize: bool = False, seed: int = lsh.DEFAULT_SEED, bits: int = lsh.DEFAULT_BITS, reuse: bool = False) -> VectorIndex:
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """Complete builds under an index's path, oldest first."""
+    return [f"{path}/{name}" for name in sorted(store.folders(spark, path)) if store.exists(spark, f"{path}/{name}/meta/_SUCCESS")]
+
+
+def build_index(vectors: DataFrame, path: str, level: str = "f32", use_ann: bool = True, normalize: bool = False, seed: int = lsh.DEFAULT_SEED, bits: int = lsh.DEFAULT_BITS, reuse: bool = False, least_dims: int = 1, most_dims: int | None = None) -> VectorIndex:
     """Check, optionally normalise, sign and write. reuse: keep an index there that has the same content and parameters, else it is replaced."""
     V.check_level(level)
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows, dims = validate(vectors)
-    made = {"rows": rows, "dims": dims, "level": level, "use_ann": use_ann, "normalized": normalize, "seed": seed, "bits": bits, "content": fingerprint(vectors)}
-    if reuse and _exists(spark, f"{path}/meta/_SUCCESS"):
-        there = spark.read.parquet(f"{path}/meta").first().asDict()
+    rows, dims, content = inspect(vectors, least_dims, most_dims)
+    made = {"rows": rows, "dims": dims, "level": level, "use_ann": use_ann, "normalized": normalize, "seed": seed, "bits": bits, "content": content}
+    before = _complete(spark, path)
+    if reuse and before:
+        there = spark.read.parquet(f"{before[-1]}/meta").first().asDict()
         if all(there.get(k) == v for k, v in made.items()):
             return open_index(spark, path)
         log.info("index at %s holds other data: rebuilt", path)
@@ -118,14 +135,21 @@ def build_index(vectors: DataFrame, path: str, level: str = "f32", use_ann: bool
     out = vectors.withColumn("embedding", V.quantize("embedding", level))
     planes = lsh.hyperplanes(bits, dims, seed) if use_ann else None
     out = out.withColumn("sig", lsh.signature("embedding", planes) if use_ann else F.lit(None).cast("long"))
-    out.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.mode("overwrite").parquet(f"{path}/vectors")
+    new = f"{path}/build-{max(time.time_ns(), 1 + int(before[-1].rsplit('-', 1)[1]) if before else 0):020}"
+    out.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.parquet(f"{new}/vectors")
     if use_ann:
-        spark.createDataFrame([(j, [float(x) for x in h]) for j, h in enumerate(planes)], "bit int, h array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/planes")
-    spark.createDataFrame([made], "rows long, dims int, level string, use_ann boolean, normalized boolean, seed int, bits int, content string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame([(j, [float(x) for x in h]) for j, h in enumerate(planes)], "bit int, h array<double>").coalesce(1).write.parquet(f"{new}/planes")
+    spark.createDataFrame([made], "rows long, dims int, level string, use_ann boolean, normalized boolean, seed int, bits int, content string").coalesce(1).write.parquet(f"{new}/meta")
+    for old in before:
+        store.remove(spark, old)
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str, use_ann: bool = True) -> VectorIndex:
+    there = _complete(spark, path)
+    if not there:
+        raise FileNotFoundError(f"no complete index at {path}")
+    path = there[-1]
     meta = spark.read.parquet(f"{path}/meta").first()
     planes = None
     if use_ann and meta.use_ann:

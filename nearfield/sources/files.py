@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -34,25 +34,27 @@ def from_matrix(spark: SparkSession, matrix) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_batches([arrow_batch(0, matrix)]), SCHEMA)
 
 
-def load_csv_matrix(path: str) -> np.ndarray:
-    """Lenient flavour on the driver: no header, blank and # lines are skipped, a single row counts as one-dimensional."""
-    return np.loadtxt(path, delimiter=",")
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines (value, file, start) with their number line, counted through files in order of name; one row a split of a file is counted first."""
+    at = Window.partitionBy("file", "start").orderBy("_m")
+    sizes = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("file", "start", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.withColumn("_m", F.monotonically_increasing_id()).withColumn("at", F.row_number().over(at)).join(sizes, ["file", "start"]).select((F.col("before") + F.col("at") - 1).alias("line"), "value")
 
 
 def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Headerless numeric CSV. Lenient: blank lines and # comments are skipped. Strict: they, like any cell that is no number, are errors that name the line, and so is an empty file."""
-    lines = spark.read.text(path, wholetext=False).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0])).toDF("line long, value string")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
     if strict:
-        if not lines.take(1):
+        if lines.isEmpty():
             raise ValueError(f"{path} is empty")
         cells = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("float"))
         bad = F.exists(cells, lambda x: x.isNull())
         fail = F.raise_error(F.concat(F.lit("no number in line "), (F.col("line") + 1).cast("string"))).cast("array<float>")
-        return lines.select(F.col("line").alias("vec_id"), F.when(bad, fail).otherwise(cells).alias("embedding"))
+        return _numbered(lines).select(F.col("line").alias("vec_id"), F.when(bad, fail).otherwise(cells).alias("embedding"))
     body = lines.withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''")
-    cells = F.transform(F.split("value", ","), lambda x: F.trim(x).cast("float"))
-    numbered = body.select("line", cells.alias("embedding")).rdd.zipWithIndex().map(lambda p: (p[1], p[0].embedding))
-    return numbered.toDF(SCHEMA)
+    return _numbered(body).select(F.col("line").alias("vec_id"), F.transform(F.split("value", ","), lambda x: F.trim(x).cast("float")).alias("embedding"))
 
 
 def read_header(path: str) -> tuple[int, int]:
@@ -136,6 +138,7 @@ def read_bin(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    _NpyReader({"path": path}).shape()
     register(spark)
     return spark.read.format("vector_npy").load(path)
 

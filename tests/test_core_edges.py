@@ -174,7 +174,7 @@ def test_cascade_keeps_fractions(spark, frame, matrix):
     assert got(cascade.search(matrix[8], ["f16", "f32"], 10)) == brute(matrix, matrix[8].astype(float), 10)
     with pytest.raises(ValueError):
         Cascade({"other": level})
-    assert (cascade.rows(), cascade.dims()) == (300, 16)
+    assert (cascade.rows(), cascade.dims()) == ({'f8': 300, 'f16': 300, 'f32': 300}, {'f8': 16, 'f16': 16, 'f32': 16}) and "ann=False" in repr(cascade)
 
 
 def test_cascade_keeps_candidates_of_each_query(spark, frame, matrix):
@@ -200,3 +200,89 @@ def test_stream(spark, frame, matrix, tmp_path):
     score_stream(stream, index, 3, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert got(found.where("qid = 1")) == brute(matrix, matrix[2].astype(float), 3)
+
+
+def test_many_blocks_and_large_k(spark, frame, matrix, monkeypatch):
+    queries = {i: matrix[i].astype(float) for i in (3, 39, 77, 200)}
+    one = sorted(map(tuple, S.topk_exact(frame, S.queries_frame(spark, queries), 7).collect()))
+    monkeypatch.setattr(S, "BLOCK_BYTES", 200)
+    assert sorted(map(tuple, S.topk_exact(frame, S.queries_frame(spark, queries), 7).collect())) == one
+    monkeypatch.setattr(S, "KEPT_ROWS", 400)
+    found = S.topk_exact(frame, S.queries_frame(spark, queries), 10**9)
+    assert found.count() == 1200
+    for i, q in queries.items():
+        assert got(found.where(f"qid = {i}")) == brute(matrix, q, 300)
+
+
+@pytest.mark.parametrize("k", [1, 3, 25])
+def test_scores_that_are_no_numbers_match_nothing(spark, k):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(20, [float("nan"), 1.0]), (21, [float("inf"), 0.0]), (22, [float("-inf"), 0.0])]
+    v = spark.createDataFrame(rows, files.SCHEMA).coalesce(1)
+    found = [(r.vec_id, r.score) for r in S.topk_exact(v, S.queries_frame(spark, [[1.0, 1.0]]), k).orderBy("rnk").collect()]
+    assert found == ([(21, float("inf"))] + [(i, i + 1.0) for i in reversed(range(20))] + [(22, float("-inf"))])[:k]
+
+
+def test_hot_bucket_is_not_moved(spark, matrix):
+    signed = files.from_matrix(spark, matrix).repartition(6).withColumn("sig", F.when(F.col("vec_id") % 10 == 0, F.col("vec_id")).when(F.col("vec_id") % 11 > 0, 1))
+    q = spark.createDataFrame([(i, [float(x) for x in matrix[i]], s) for i, s in ((1, 1), (2, 1), (10, 10), (4, 999), (5, None))], "qid long, q array<double>, sig long")
+    found = S.topk_bucket(signed, q, 4)
+    hot = [i for i in range(300) if i % 10 and i % 11]
+    for i in (1, 2):
+        assert got(found.where(f"qid = {i}")) == brute(matrix, matrix[i].astype(float), 4, hot)
+    assert got(found.where("qid = 10")) == [10] and found.where("qid IN (4, 5)").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(sig" not in plan
+
+
+def test_interrupted_build_is_never_read(spark, frame, tmp_path, monkeypatch):
+    path, other = str(tmp_path / "i"), frame.withColumn("embedding", F.transform("embedding", lambda x: x + 1))
+    first = build_index(frame, path, bits=4).get_vector(17)
+    real = spark.createDataFrame
+
+    def fails(data, schema=None, *args, **kwargs):
+        if "content" in str(schema):
+            raise OSError("interrupted")
+        return real(data, schema, *args, **kwargs)
+
+    monkeypatch.setattr(spark, "createDataFrame", fails)
+    with pytest.raises(OSError):
+        build_index(other, path, bits=4)
+    monkeypatch.undo()
+    assert open_index(spark, path).get_vector(17) == first == build_index(frame, path, bits=4, reuse=True).get_vector(17)
+    assert build_index(other, path, bits=4, reuse=True).get_vector(17) != first
+    with pytest.raises(FileNotFoundError):
+        open_index(spark, str(tmp_path / "none"))
+
+
+def test_facade_reads_files(spark, matrix, tmp_path):
+    np.save(tmp_path / "m.npy", matrix)
+    np.savetxt(tmp_path / "m.csv", matrix, delimiter=",", fmt="%.9g")
+    for name in ("m.npy", "m.csv"):
+        e = VectorSearch.from_embeddings(str(tmp_path / name), base_dir=str(tmp_path / name[2:]), use_ann=False)
+        assert [r["idx"] for r in e.query(matrix[9], 4)] == brute(matrix, matrix[9].astype(float), 4)
+    np.save(tmp_path / "flat.npy", matrix[0])
+    with pytest.raises(ValueError, match="two dimensions"):
+        VectorSearch.from_embeddings(str(tmp_path / "flat.npy"), base_dir=str(tmp_path))
+
+
+def test_csv_of_many_splits(spark, tmp_path):
+    lines = [f"{i},{i / 7!r}" + (" # note" if i % 5 == 0 else "") for i in range(4000)]
+    for part in range(2):
+        (tmp_path / f"p{part}.csv").write_text("\n\n".join(lines[2000 * part : 2000 * part + 2000]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        found = files.read_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 4000 and all(r.embedding[0] == r.vec_id for r in found)
+
+
+def test_logging_follows_its_variable(monkeypatch):
+    import logging
+
+    from nearfield import logs
+
+    for value, level in (("info", logging.INFO), ("off", logging.CRITICAL + 1), ("nonsense", logging.CRITICAL + 1), (None, logging.CRITICAL + 1)):
+        monkeypatch.setenv("NEARFIELD_LOG", value) if value else monkeypatch.delenv("NEARFIELD_LOG", raising=False)
+        logs.setup()
+        assert logging.getLogger("nearfield").level == level
