@@ -5,18 +5,24 @@ Searches take as queries all rows whose vec_id is divisible by 50, against all r
 
 from __future__ import annotations
 
+import os
 import re
-import tempfile
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.api import VectorSearch
 from nearfield.functions import lsh
 from nearfield.functions import vectors as V
 from nearfield.operators import search as S
 from nearfield.operators.cascade import Cascade
-from nearfield.plans.index import VectorIndex
+from nearfield.plans import store
+from nearfield.plans.index import VectorIndex, build_index
+from nearfield.sources import files
+from nearfield.streaming.score import score_stream
 
 K = 5
 #: Few bits, so that buckets of the small tables hold both more and fewer rows than K.
@@ -101,18 +107,138 @@ def _levels(spark, d):
     return _cells(v, V.quantize("embedding", "f16")).join(F.broadcast(levels))  # four rows
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/nearfield-{spark.sparkContext.applicationId}"
+def _folder(spark: SparkSession) -> str:
+    """A new folder for single files, as the driver and the executors see it."""
+    path = store.shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _matrix(vectors: DataFrame) -> np.ndarray:
+    """In the driver's memory, as the sources that start there ask for it."""
+    return np.array([r.embedding for r in vectors.orderBy("vec_id").collect()], dtype=np.float32)
+
+
+def _index(spark: SparkSession, d: str, **kwargs) -> VectorIndex:
+    return build_index(_vectors(spark, d), store.shared_folder(spark), bits=BITS, **kwargs)
+
+
+def _embedding_cells(vectors: DataFrame) -> DataFrame:
+    return _cells(vectors, F.col("embedding"))
 
 
 def _index_roundtrip(spark, d):
-    import uuid
+    return _embedding_cells(_index(spark, d).vectors)
+
+
+def _index_reuse(spark, d):
+    path = store.shared_folder(spark)
+    for _ in range(2):
+        index = build_index(_vectors(spark, d), path, use_ann=False, reuse=True)
+    return _embedding_cells(index.vectors).withColumn("builds", F.lit(len(store.folders(spark, path))).cast("long"))
+
+
+def _csv(strict: bool):
+    def run(spark, d):
+        path = store.shared_folder(spark)
+        line = F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string")))
+        if not strict:
+            line = F.when(F.col("vec_id") % 9 == 0, F.concat(F.lit("# note\n\n"), line, F.lit(" # more"))).otherwise(line)
+        _vectors(spark, d).repartitionByRange("vec_id").sortWithinPartitions("vec_id").select(line).write.text(path)
+        return _embedding_cells(files.read_csv(spark, path, strict))
+
+    return run
+
+
+def _npy(spark, d):
+    path = f"{_folder(spark)}/m.npy"
+    np.save(path, _matrix(_vectors(spark, d)))
+    return _embedding_cells(files.read_npy(spark, path))
+
+
+def _bin(spark, d):
+    return _embedding_cells(files.read_bin(spark, files.write_bin(_vectors(spark, d), f"{_folder(spark)}/m.bin")))
+
+
+def _csv_to_bin(spark, d):
+    """CSV to a normalised .bin file, by one call."""
+    path = f"{_folder(spark)}/m.csv"
+    np.savetxt(path, _matrix(_holed(_vectors(spark, d))), delimiter=",", fmt="%.9g")
+    return _embedding_cells(files.read_bin(spark, files.build_from_csv(spark, path, normalize=True)))
+
+
+def _ann_file(spark, d):
+    planes = files.read_ann(files.write_ann(lsh.hyperplanes(BITS, DIMS), f"{_folder(spark)}/p.ann"))
+    return _vectors(spark, d).select("vec_id", lsh.signature("embedding", planes).alias("sig"))
+
+
+def _get_vector(spark, d):
+    row = _index(spark, d, use_ann=False).get_vector(7)
+    return _embedding_cells(spark.createDataFrame([(7, row)], "vec_id long, embedding array<double>"))
+
+
+def _facade(spark, d):
+    found = VectorSearch.from_embeddings(_vectors(spark, d), base_dir=store.shared_folder(spark), use_ann=False, level="f16", spark=spark)
+    row = found.index.get_vector(50)
+    return _rounded(spark.createDataFrame([(r["idx"], r["score"]) for r in found.query(row, K)], "vec_id long, score double"))
 
-    from nearfield.plans.index import build_index
 
-    index = build_index(_vectors(spark, d), f"{_shared_folder(spark)}/{uuid.uuid4().hex}", bits=BITS)
-    return _cells(index.vectors, F.col("embedding"))
+def _methods(spark, d):
+    index = _index(spark, d, use_ann=False)
+    queries = _queries(index.vectors)
+    each = [index.search(queries, K, method=m).withColumn("method", F.lit(m)) for m in V.METHODS]
+    return _rounded(reduce(DataFrame.unionByName, each))
+
+
+def _similar_row(spark, d):
+    return _rounded(_index(spark, d, use_ann=False).similar(50, K))
+
+
+def _index_subset(spark, d):
+    index = _index(spark, d)
+    return _rounded(index.search_subset(_queries(index.vectors), index.vectors.where("vec_id % 3 = 0").select("vec_id"), K))
+
+
+def _index_search(spark, d):
+    index = _index(spark, d)
+    return _rounded(index.search(_queries(index.vectors), 30))
+
+
+def _cascade_sizes(spark, d):
+    v = _vectors(spark, d)
+    rows, dims = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    cascade = Cascade({level: VectorIndex(v, rows, dims, None, level) for level in ("f8", "f32")})
+    return spark.createDataFrame([(level, cascade.dims()[level], n) for level, n in cascade.rows().items()], "level string, dims long, n long")
+
+
+def _cascade_two(spark, d):
+    v = _vectors(spark, d)
+    rows, dims = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    level = VectorIndex(v, rows, dims, None)
+    return _rounded(Cascade({"f16": level, "f32": level}).search(_queries(v), ["f16", "f32"], 20))
+
+
+def _sql_functions(spark, d):
+    V.register_sql_functions(spark)
+    v = _vectors(spark, d)
+    pairs = v.join(v.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("head")), F.expr("vec_id - vec_id % 50 = head_id"))
+    return pairs.select("vec_id", "head_id", F.expr("round(nf_dot(embedding, head), 6) + 0D").alias("dot"), F.expr("round(nf_norm(embedding), 6)").alias("norm"), F.expr("round(nf_normalize(embedding)[0], 6) + 0D").alias("first"))
+
+
+def _dots(spark, d):
+    """Each row with the row whose id is the next lower one divisible by 50."""
+    v = _vectors(spark, d)
+    pairs = v.join(v.select(F.col("vec_id").alias("head_id"), F.col("embedding").alias("head")), F.expr("vec_id - vec_id % 50 = head_id"))
+    return pairs.select("vec_id", "head_id", (F.round(V.dot("embedding", "head"), 6) + F.lit(0.0)).alias("dot"))
+
+
+def _stream(spark, d):
+    v, path = _vectors(spark, d), store.shared_folder(spark)
+    _queries(v).write.parquet(f"{path}/in")
+    rows, dims = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    stream = spark.readStream.schema("qid long, q array<double>").parquet(f"{path}/in")
+    score_stream(stream, VectorIndex(v, rows, dims, None), K, f"{path}/out", f"{path}/log").awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/out").drop("batch_id"))
 
 
 def _sql_topk(score: str = "dot(q.u, v.e)", k: int = K, where: str = "", vectors: str = "v", extra: str = "") -> str:
@@ -121,8 +247,8 @@ def _sql_topk(score: str = "dot(q.u, v.e)", k: int = K, where: str = "", vectors
   FROM q, {vectors} v {where}) WHERE rnk <= {k}"""
 
 
-def _planes_sql(bits: int = BITS) -> str:
-    return "VALUES " + ", ".join(f"({j}, [{', '.join(repr(float(x)) + '::DOUBLE' for x in h)}])" for j, h in enumerate(lsh.hyperplanes(bits, DIMS)))
+def _planes_sql(planes: np.ndarray) -> str:
+    return "VALUES " + ", ".join(f"({j}, [{', '.join(repr(float(x)) + '::DOUBLE' for x in h)}])" for j, h in enumerate(planes))
 
 
 WITH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -133,8 +259,8 @@ def _sql(body: str, more: str = "") -> str:
     return re.sub(r"(?<![a-z_])dot\(", "list_dot_product(", f"{WITH}{more}\n{body}")
 
 
-def _signed_sql(bits: int = BITS) -> str:
-    return f""", h(bit, plane) AS ({_planes_sql(bits)}),
+def _signed_sql(bits: int = BITS, planes: np.ndarray | None = None) -> str:
+    return f""", h(bit, plane) AS ({_planes_sql(lsh.hyperplanes(bits, DIMS) if planes is None else planes)}),
 s AS (SELECT vec_id, sum(CASE WHEN dot(e, plane) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS sig FROM v, h GROUP BY vec_id),
 c AS (SELECT sig, count(*) AS n_cand FROM s GROUP BY sig)"""
 
@@ -183,6 +309,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cascade_ann_all_queries": _cascade_ann,
         "level_identity": _levels,
         "index_roundtrip": _index_roundtrip,
+        "index_reuse": _index_reuse,
+        "index_search": _index_search,
+        "index_subset": _index_subset,
+        "index_get_vector": _get_vector,
+        "index_similar_row": _similar_row,
+        "search_methods": _methods,
+        "source_memory": lambda s, d: _embedding_cells(files.from_matrix(s, _matrix(_vectors(s, d)))),
+        "source_npy": _npy,
+        "source_csv_lenient": _csv(False),
+        "source_csv_strict": _csv(True),
+        "bin_roundtrip": _bin,
+        "csv_to_bin": _csv_to_bin,
+        "ann_file_signature": _ann_file,
+        "facade_query": _facade,
+        "lsh_bucket_members": lambda s, d: lsh.members(_signed(_vectors(s, d), "embedding")),
+        "cascade_sizes": _cascade_sizes,
+        "cascade_f16_f32_all_queries": _cascade_two,
+        "dot_products": _dots,
+        "sql_functions": _sql_functions,
+        "stream_topk": _stream,
     }
 
 
@@ -227,4 +373,24 @@ b1 AS ({each.format(src='a1', k=first)}), c1 AS ({each.format(src='b1', k=second
         "cascade_ann_all_queries": _sql("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, vec_id)::INT AS rnk, vec_id, round(sc, 6) + 0.0::DOUBLE AS score FROM c1 QUALIFY rnk <= 10", _signed_sql() + cascade_ann),
         "level_identity": _sql(f"SELECT vec_id, pos, value, level FROM ({PLAIN_CELLS}), (VALUES ('f8'), ('f16'), ('f32'), ('f64')) l(level)"),
         "index_roundtrip": _sql(PLAIN_CELLS),
+        "index_reuse": _sql(f"SELECT *, 1::BIGINT AS builds FROM ({PLAIN_CELLS})"),
+        "index_search": _sql(fallback_from.replace(", n_cand < 30 AS used_fallback", ""), _signed_sql()),
+        "index_subset": _sql(_sql_topk(vectors="(SELECT vec_id, e, 0 AS ord FROM v WHERE vec_id % 3 = 0)")),
+        "index_get_vector": _sql(f"SELECT * FROM ({PLAIN_CELLS}) WHERE vec_id = 7"),
+        "index_similar_row": _sql(f"SELECT * FROM ({_sql_topk('dot(q.e, v.e)')}) WHERE qid = 50"),
+        "search_methods": _sql(f"SELECT * FROM ({_sql_topk()}), (VALUES ('scalar'), ('simd'), ('auto')) m(method)"),
+        "source_memory": _sql(PLAIN_CELLS),
+        "source_npy": _sql(PLAIN_CELLS),
+        "source_csv_lenient": _sql(PLAIN_CELLS),
+        "source_csv_strict": _sql(PLAIN_CELLS),
+        "bin_roundtrip": _sql(PLAIN_CELLS),
+        "csv_to_bin": _sql(_sql_cells(f"list_transform({unit}, lambda x: x::FLOAT::DOUBLE)")),
+        "ann_file_signature": _sql("SELECT vec_id, sig FROM s", _signed_sql(planes=lsh.hyperplanes(BITS, DIMS).astype(np.float32))),
+        "facade_query": _sql(f"SELECT vec_id, score FROM ({_sql_topk()}) WHERE qid = 50"),
+        "lsh_bucket_members": _sql("SELECT sig, vec_id FROM s", _signed_sql()),
+        "cascade_sizes": "SELECT level, max(len(embedding))::BIGINT AS dims, count(*) AS n FROM embeddings, (VALUES ('f8'), ('f32')) l(level) GROUP BY level",
+        "cascade_f16_f32_all_queries": _sql(f"SELECT * FROM ({_sql_topk(k=20)}) WHERE rnk <= {first}"),
+        "dot_products": _sql("SELECT a.vec_id, b.vec_id AS head_id, round(dot(a.e, b.e), 6) + 0.0::DOUBLE AS dot FROM v a JOIN v b ON a.vec_id - a.vec_id % 50 = b.vec_id"),
+        "sql_functions": _sql("SELECT a.vec_id, b.vec_id AS head_id, round(dot(a.e, b.e), 6) + 0.0::DOUBLE AS dot, round(sqrt(dot(a.e, a.e)), 6) AS norm, round(a.e[1] / sqrt(dot(a.e, a.e)), 6) + 0.0::DOUBLE AS first FROM v a JOIN v b ON a.vec_id - a.vec_id % 50 = b.vec_id"),
+        "stream_topk": _sql(_sql_topk()),
     }
