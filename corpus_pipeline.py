@@ -29,16 +29,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Stored, with a number of its own for each row, so that neither null nor repeated ids name other rows."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """Stored, with a number of its own for each row, so that neither null nor repeated ids name other rows, and a hash of the text."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64("text")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest id (null last; ties by text hash)."""
     rows = _numbered(docs)
     found = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row"))
-    kept = found.join(rows.select("_row", "doc_id", "text").hint("merge"), "_row").groupBy("component_id").agg(first.alias("f")).select("f._row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_hash").alias("h"), "_row"))
+    kept = found.join(rows.select("_row", "doc_id", "_hash").hint("merge"), "_row").groupBy("component_id").agg(first.alias("f")).select("f._row")
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
