@@ -10,8 +10,10 @@ Bands: enough that a link at the threshold is missed by all of them with a chanc
 sample estimate lies six standard deviations under the threshold.
 
 Scale: one pass over the texts gives 16-byte set keys, bands and 64-byte sketches. Copies of a set are folded before anything is joined. A bucket is
-dealt out in blocks of about BLOCK classes and at most about BLOCK_SHINGLES shingles, and two blocks meet in one task, so no bucket, however large, is gathered; buckets with
-the same members are taken once, and a pair is looked at in its first shared band only. Texts move once, and again for classes whose sketch is near another's, to the block pairs where it is.
+dealt out in blocks of about BLOCK classes and at most about BLOCK_SHINGLES shingles, so no bucket, however large, is gathered; buckets with
+the same members are taken once, and a pair is looked at in its first shared band only. First each block is looked at by itself, with about HUBS members of its bucket beside it, which
+connects large groups of near copies in rows that grow with the group. Then buckets of many blocks whose members are not all connected are looked at whole: members outside the bucket's largest component meet
+all others, two blocks a task, so every link between components is found. Texts move once a round, and again for classes whose sketch is near another's, to the blocks where it is.
 A class of very many copies learns its component in parts.
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id is dropped. Repeated doc_ids: each row is kept, and
@@ -37,6 +39,8 @@ MISS = 1e-6
 SAMPLES = 128
 SKETCH_BITS = 512
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Members of a bucket of many blocks, on average and if they add up to no more than a block, that are dealt to each of them.
+HUBS = 8
 CHUNK = 1024
 THRESHOLD = 0.8
 
@@ -201,6 +205,33 @@ def _links(shingle_words: int, percent: int):
     return run
 
 
+def _blocks(n: str, size: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+    """(u, v): a forest of the links within each block, or between each pair of blocks, that members name."""
+    member = member.join(classes.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id").select(MEMBERS)
+    near = member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER)
+    texts = docs.join(near, "doc_id")
+    return texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, percent), "u long, v long")
+
+
+def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of blocks of buckets that found leaves in several components. Members of a bucket's largest component need no look at each other: the others meet them and themselves."""
+    member = member.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    member = stored(member.select("doc_id", "bkey", "band", "size", "component"))
+    parts = member.groupBy("bkey", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sums = parts.groupBy("bkey").agg(F.max(F.struct("n", "component", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > most.n")
+    sums = sums.select("bkey", F.col("most.component").alias("largest"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("size") - F.col("most.size")).alias("size"), F.col("most.n").alias("n2"), F.col("most.size").alias("size2"))
+    member = member.drop("size").join(sums, "bkey").withColumn("others", _blocks("n", "size")).withColumn("more", _blocks("n2", "size2"))
+    dealt, same = F.xxhash64("doc_id", F.lit(7)), F.col("component") == F.col("largest")
+    member = member.withColumn("side", F.when(same, F.col("others") + F.pmod(dealt, F.col("more"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.col("others") - 1 + F.when(same, 0).otherwise(F.col("more")))
+    member = member.withColumn("other", F.explode(meets))
+    return member.select("doc_id", "bkey", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "band")
+
+
 def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shingle_words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked at 100 * intersection >= percent * union, directly or through others, share component_id, the smallest doc_id among them."""
     spark = docs.sparkSession
@@ -212,16 +243,17 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")))
     dealt = classes.select("rep", "size", F.posexplode("bands").alias("band", "bkey")).withColumn("bkey", F.xxhash64("band", "bkey"))
     buckets = dealt.groupBy("bkey").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.sum((F.xxhash64("rep", F.lit(1)) % 1000003).cast("long")).alias("check"), F.min("band").alias("band")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    first = buckets.groupBy("n", "size", "members", "check").agg(F.min(F.struct("band", "bkey")).alias("b")).select(blocks.alias("blocks"), "b.bkey")
-    member = dealt.drop("size").join(first, "bkey").withColumnRenamed("rep", "doc_id").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("doc_id", "bkey", "band", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"))
-    member = member.join(classes.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id").select(MEMBERS)
-    near = member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER)
-    texts = docs.join(near, "doc_id")
-    links = texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, percent), "u long, v long")
+    first = buckets.groupBy("n", "size", "members", "check").agg(F.min(F.struct("band", "bkey")).alias("b")).select("n", _blocks("n", "size").alias("blocks"), "b.bkey")
+    first = stored(first)
+    member = dealt.join(first, "bkey").withColumnRenamed("rep", "doc_id")
+    side = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30) < F.least(HUBS / F.col("n"), 1 / F.col("blocks")))
+    own = member.withColumn("bi", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(side))))
+    links = stored(_confirmed(docs, classes, own.select("doc_id", "bkey", "bi", F.col("bi").alias("bj"), F.lit(0).alias("side"), "band"), percent, shingle_words))
     found = components(links)
+    if not first.where("blocks > 1").isEmpty():
+        rest = _unsettled(member.where("blocks > 1"), found)
+        found = components(links.unionByName(_confirmed(docs, classes, rest, percent, shingle_words)))
     named = classes.select("k1", "k2", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     named = spread_join(full.drop("bands", "sketch"), named, ["k1", "k2"], ["doc_id"], classes).select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
