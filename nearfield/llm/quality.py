@@ -61,10 +61,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def _columns(texts: pa.Array) -> list[pa.Array]:
+    rows = np.array([statistics(t) for t in texts.to_pylist()], dtype=np.float64).reshape(-1, len(STATS))
+    return [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(STATS))]
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(STATS))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(STATS)))], names=["doc_id", *STATS])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(batch.column("text"))], names=["doc_id", *STATS])
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -86,10 +90,12 @@ class Rule:
             out &= column > bound if above else column <= bound
         return out
 
-    def column(self) -> Column:
+    def column(self, within: str = "") -> Column:
+        """The rule over statistics that are columns, or fields of the struct column within."""
         out = F.lit(True)
         for stat, above, bound in self.bounds:
-            out = out & (F.col(stat) > bound if above else F.col(stat) <= bound)
+            value = F.col(f"{within}.{stat}" if within else stat)
+            out = out & (value > bound if above else value <= bound)
         return out
 
 
@@ -151,10 +157,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[float, list[
     return intercept, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6]
 
 
-def rule_score(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
+def rule_score(intercept: float, rules: list[tuple[Rule, float]], within: str = "") -> Column:
     z = F.lit(float(intercept))
     for rule, weight in rules:
-        z = z + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+        z = z + F.when(rule.column(within), F.lit(weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
 
@@ -171,3 +177,18 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     intercept, rules = train(stats, labels)
     out = stats.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), rule_score(intercept, rules).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold. Each row is judged by its own text, whatever its id.
+
+    Statistics are taken once for the fit, without the texts, and once beside the rows, so that no text is shuffled.
+    """
+    intercept, rules = train(stored(with_statistics(docs)), labels)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_columns(texts), names=list(STATS))
+
+    own = F.arrow_udf(run, ", ".join(f"{s} double" for s in STATS)).asNondeterministic()  # so that it is not copied into every rule
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"_statistics{i}") not in {c.lower() for c in docs.columns})
+    return docs.withColumn(name, own("text")).where(rule_score(intercept, rules, name) >= threshold).drop(name)

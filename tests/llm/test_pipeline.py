@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -69,3 +70,15 @@ def test_rows_are_judged_by_themselves(spark):
     assert kept(P.drop_near_duplicates, rows) == sorted([(None, text("b")), (5, text("c")), (3, text("d")), (7, text("a")), (8, None)], key=repr)
     rows = [(None, item), (1, item), (1, text("a")), (None, text("b"))]
     assert kept(P.drop_benchmark, rows) == sorted(rows[2:], key=repr)
+
+
+def test_quality_is_judged_by_row(spark):
+    d = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    by_label = {r.predicted: r.doc_id for r in quality.scored(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    good, bad = (docs.where(f"doc_id = {by_label[p]}").first().text for p in (1, 0))
+    more = [(10**9, good), (10**9, bad), (None, bad), (None, good), (10**9 + 1, bad)]
+    got = P.keep_quality(spark, docs.union(spark.createDataFrame(more, docs.schema)), d).where("doc_id IS NULL OR doc_id >= 1000000000").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(10**9, good), (None, good)], key=repr)
+    clash = docs.withColumn("_statistics0", F.lit(1)).withColumn("upper", F.lit("x"))
+    assert P.keep_quality(spark, clash, d).columns == clash.columns
