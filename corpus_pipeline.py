@@ -1,8 +1,7 @@
 """From raw documents to token files: quality, near-duplicates, benchmark passages, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of docs, save the last.
-Near-dedup and decontamination judge each row by itself, whatever its id. The quality filter names documents by id: a null doc_id passes it, and
-rows that share an id are judged together. Empty tables pass through.
+Quality, near-dedup and decontamination judge each row by itself, whatever its id. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -23,9 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    bad = quality.scored(docs, _table(spark, sf_dir, "labels")).where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    """Rows that the quality rules reject go."""
+    return quality.accepted(docs, _table(spark, sf_dir, "labels"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
