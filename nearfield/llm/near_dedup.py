@@ -13,7 +13,7 @@ Scale: one pass over the texts gives 16-byte set keys, bands and 64-byte sketche
 dealt out in blocks of about BLOCK classes and at most about BLOCK_SHINGLES shingles, so no bucket, however large, is gathered; buckets with
 the same members are taken once, and a pair is looked at in its first shared band only. First each block is looked at by itself, with about HUBS members of its bucket beside it, which
 connects large groups of near copies in rows that grow with the group. Then buckets of many blocks whose members are not all connected are looked at whole: members outside the bucket's largest component meet
-all others, two blocks a task, so every link between components is found. Texts move once a round, and again for classes whose sketch is near another's, to the blocks where it is.
+all others, two blocks a task, so every link between components is found. In each round, texts of classes whose sketch is near another's move by id, behind a broadcast filter of ids of fixed size, and again to the blocks where it is.
 A class of very many copies learns its component in parts.
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id is dropped. Repeated doc_ids: each row is kept, and
@@ -41,6 +41,8 @@ SKETCH_BITS = 512
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Members of a bucket of many blocks, on average and if they add up to no more than a block, that are dealt to each of them.
 HUBS = 8
+#: Bits of the broadcast filter: at most 262,144 rows of 64 bits.
+FILTER_BITS = 1 << 24
 CHUNK = 1024
 THRESHOLD = 0.8
 
@@ -209,11 +211,19 @@ def _blocks(n: str, size: str):
     return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
 
 
+def _likely(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """All docs whose id is in near, and few others: a bitmap of hashes, FILTER_BITS at every size, is broadcast. As it fills, more of the others pass and move."""
+    at = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    words = near.select(word.alias("_word"), bit.alias("_bit")).selectExpr("_word", "shiftleft(1L, _bit) AS _set").groupBy("_word").agg(F.bit_or("_set").alias("_bits"))
+    return docs.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.getbit("_bits", bit) == 1).select("doc_id", "text")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     """(u, v): a forest of the links within each block, or between each pair of blocks, that members name."""
     member = member.join(classes.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id").select(MEMBERS)
-    near = member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER)
-    texts = docs.join(near, "doc_id")
+    near = stored(member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER))
+    texts = _likely(docs, near).join(near, "doc_id")
     return texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, percent), "u long, v long")
 
 
