@@ -8,7 +8,7 @@ texts have in common give them a common choice. A text with fewer than k units i
 Likeness of two fingerprints: Jaccard similarity of their hashes, fine ones if both texts are short, else those of words.
 
 Scale: texts move once. Neighbours in id order come from windows over groups of at most GROUP rows (more only beyond MOST_GROUPS groups), whose bounds are exact: ids
-and text hashes alone are sorted and numbered first. Each group also holds the first row of the next one, so no window spans the table, and the number of tasks follows the number of groups. Fingerprints are made in the groups.
+and text hashes alone are sorted and numbered first. Each group also holds the first row of the next one, so no window spans the table, and each group is one task of its own, so tasks are equal in rows and follow the table's size. Fingerprints are made in the groups.
 
 A null text counts as empty; empty texts have a fingerprint of their own. A null doc_id comes last. Repeated ids follow each other by hash of the text, then by text; rows that repeat both stay in one group. A single
 document is its own neighbour. An empty table gives no rows. Other columns are not read.
@@ -26,8 +26,7 @@ K_WORDS, W_WORDS = 4, 16
 K_CHARS, W_CHARS = 8, 8
 SHORT, LONG = 1024, 20
 POSITION_BITS = 27
-GROUP, MOST_GROUPS = 1000, 100_000
-GROUPS_PER_TASK = 4
+GROUP, MOST_GROUPS = 4000, 100_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -114,7 +113,8 @@ def _groups(docs: DataFrame) -> tuple[list[str], list[str]]:
     """The smallest key of each group of successive rows, and the largest."""
     keys = docs.select(_key().alias("_key"))
     ordered = stored(keys.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    step = max(GROUP, -(-ordered.count() // MOST_GROUPS))
+    n = ordered.count()
+    step = max(1, min(GROUP, n // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // MOST_GROUPS))
     bounds = sorted({r[0] for r in ordered.where(F.col("_at") % step == 0).select("_key").collect()})  # MOST_GROUPS and one a partition
     if not bounds:
         return [], []
@@ -134,8 +134,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     own = F.struct("grp", F.lit(0).alias("guest"))
     guest = F.struct(((F.col("grp") + 1) % len(bounds)).cast("int").alias("grp"), F.lit(1).alias("guest"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("_key") == F.get(_listed(tops), F.col("grp")), F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "_key", "to.grp", "to.guest")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(bounds) // GROUPS_PER_TASK))
-    rows = with_fingerprints(rows.repartition(tasks, "grp"), "text", "own_").drop("own_words_at", "own_chars_at")
+    rows = with_fingerprints(rows.repartitionById(len(bounds), "grp"), "text", "own_").drop("own_words_at", "own_chars_at")
     by = Window.partitionBy("grp").orderBy("guest", F.desc("_key"), "text")
     rows = rows.withColumn("n", F.lead(F.struct("text", "own_words", "own_chars")).over(by)).where("guest = 0")
     cut = F.floor(F.length("text") / 3).cast("int")
