@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.spark import bounded_batches
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
-MOST_PIECES, MOST_IDS, MOST_CHARS = 700_000, 8_000_000, 16_000_000
+MOST_PIECES, MOST_IDS, MOST_CHARS = 400_000, 4_000_000, 8_000_000
 SEGMENT = 1 << 16
 #: White space, or what some tables take for it, before a space.
 UNSAFE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}] "
@@ -191,7 +191,7 @@ def by_bytes(sizes: np.ndarray, most: int = BATCH_BYTES) -> list[tuple[int, int]
 
 
 def balanced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The same rows in the same order in batches of about BATCH_BYTES of text, cut or joined; null texts become empty."""
+    """The same rows in the same order in batches of about BATCH_BYTES of text, cut or joined; null texts become empty. Memory that Arrow has freed goes back to the system at the end."""
     most, held, size = most or BATCH_BYTES, [], 0
 
     def joined() -> pa.RecordBatch:
@@ -209,6 +209,8 @@ def balanced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iter
                 held, size = [], 0
     if held:
         yield joined()
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _count(file: str):
