@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches, stored
+from nearfield.llm.spark import bounded_batches, stored, tidy
 from nearfield.llm.text import Shingler, common, mix
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
@@ -114,7 +114,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     blocks, found = _blocks(benchmark, shingle_words), []
     block = next(blocks, None)
     while block:
-        rows = there.mapInArrow(_search(block, percent, shingle_words), SCHEMA)
+        rows = there.mapInArrow(tidy(_search(block, percent, shingle_words)), SCHEMA)
         block = next(blocks, None)
         found.append(stored(rows) if block or found else rows)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches, components, spread_join, stored
+from nearfield.llm.spark import bounded_batches, components, spread_join, stored, tidy
 from nearfield.llm.text import Shingler, common, odd_numbers
 
 ROWS_PER_BAND = 4
@@ -222,9 +222,9 @@ def _likely(docs: DataFrame, near: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     """(u, v): a forest of the links within each block, or between each pair of blocks, that members name."""
     member = member.join(classes.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id").select(MEMBERS)
-    near = stored(member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_candidates(percent), MEMBER))
+    near = stored(member.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(tidy(_candidates(percent)), MEMBER))
     texts = _likely(docs, near).join(near, "doc_id")
-    return texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_links(shingle_words, percent), "u long, v long")
+    return texts.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(tidy(_links(shingle_words, percent)), "u long, v long")
 
 
 def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = round(THRESHOLD * 100), shin
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     bands = bands_for(percent / 100)
-    signed = stored(docs.mapInArrow(_digest(shingle_words, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
+    signed = stored(docs.mapInArrow(tidy(_digest(shingle_words, bands)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")))
     dealt = classes.select("rep", "size", F.posexplode("bands").alias("band", "bkey")).withColumn("bkey", F.xxhash64("band", "bkey"))

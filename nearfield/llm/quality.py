@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.logistic import fit_lasso, sigmoid
-from nearfield.llm.spark import bounded_batches, stored
+from nearfield.llm.spark import bounded_batches, stored, tidy
 from nearfield.llm.toxicity import agreed, fold
 
 #: Labelled training rows that the rules are fitted on at most.
@@ -74,7 +74,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, statistics...) for each row of docs."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stats, ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_stats), ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
 
 
 @dataclass(frozen=True)

@@ -5,9 +5,12 @@ Nulls and empty tables are stored as they are. Join keys of spread_join and node
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same Arrow function; what a task has freed goes back to the system at its end, as workers stay for later stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # GNU C library only
+            trim(0)
+
+    return tidied
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster it is an error, as executors share no local folder."""
     return f"{_own_folder(spark)}/{uuid.uuid4().hex}"

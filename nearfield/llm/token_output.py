@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches
+from nearfield.llm.spark import bounded_batches, tidy
 from nearfield.llm.tokens import DEFAULT_FILE, balanced, encoder_for
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, file: str = DEFAULT_FILE, end_id: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
     ordered = rows.repartitionByRange(files, "doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash", "text").drop("row_hash")
     (
-        ordered.mapInArrow(_encode(file, end_id), SCHEMA)
+        ordered.mapInArrow(tidy(_encode(file, end_id)), SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")
@@ -96,4 +96,4 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the written files."""
     bounded_batches(spark)
-    return read_tokens(spark, path).select("doc_id", "start", "ids").mapInArrow(_check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).select("doc_id", "start", "ids").mapInArrow(tidy(_check), "doc_id long, start long, n_tokens long, ids_crc32 long")

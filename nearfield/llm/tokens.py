@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches
+from nearfield.llm.spark import bounded_batches, tidy
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 BATCH_BYTES = 4 << 20
@@ -191,7 +191,7 @@ def by_bytes(sizes: np.ndarray, most: int = BATCH_BYTES) -> list[tuple[int, int]
 
 
 def balanced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The same rows in the same order in batches of about BATCH_BYTES of text, cut or joined; null texts become empty. Memory that Arrow has freed goes back to the system at the end."""
+    """The same rows in the same order in batches of about BATCH_BYTES of text, cut or joined; null texts become empty."""
     most, held, size = most or BATCH_BYTES, [], 0
 
     def joined() -> pa.RecordBatch:
@@ -209,8 +209,6 @@ def balanced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iter
                 held, size = [], 0
     if held:
         yield joined()
-    held.clear()
-    pa.default_memory_pool().release_unused()
 
 
 def _count(file: str):
@@ -226,5 +224,5 @@ def _count(file: str):
 def token_counts(docs: DataFrame, file: str = DEFAULT_FILE, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of docs; ids never leave the task. Empty and null texts have no tokens."""
     bounded_batches(docs.sparkSession)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(file), "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_count(file)), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
