@@ -87,10 +87,12 @@ def _ann(fallback: bool, bits: int = BITS):
 
 
 def _cascade(spark, d):
+    """One query, and all rows that the last level keeps for it."""
     v = _vectors(spark, d)
     rows, dims = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     level = VectorIndex(v, rows, dims, None)
-    return _rounded(Cascade({"f8": level, "f16": level, "f32": level}).search(v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q")), ["f16", "f8", "f32"], 10))
+    query = v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
+    return _rounded(Cascade({"f8": level, "f16": level, "f32": level}).search(query, ["f16", "f8", "f32"], rows))
 
 
 def _cascade_ann(spark, d):
