@@ -57,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the token files."""
     path = shared_folder(spark)
-    token_output.write_tokens(docs, path)
+    token_output.write_tokens(docs, path, frugal=True)  # the executors' memory is taken by the stages before
     return token_output.read_tokens(spark, path)
 
 

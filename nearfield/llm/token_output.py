@@ -6,6 +6,8 @@ the file's own start follows from the lengths of the files before it, one number
 
 A null text is an empty document: its end id alone. Null doc_ids come first. Repeated doc_ids are each written, ordered by hash of the
 text, then text, so that very many of them are not one range. Other columns are not read. An empty table gives no rows.
+
+frugal: for executors whose memory other work has taken. Batches and the memory of pieces are smaller and each batch's memory is given back; the ids are the same, for more CPU.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.spark import bounded_batches, tidy
+from nearfield.llm.spark import bounded_batches, give_back, tidy
 from nearfield.llm.tokens import DEFAULT_FILE, balanced, encoder_for
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -31,12 +33,14 @@ PAGE_BYTES = 64 << 10
 FILE_BYTES = 128 << 20
 #: Up to so many files their starts (16 bytes each) are broadcast; beyond, they are joined like any table.
 MOST_BROADCAST_FILES = 100_000
+#: Where frugal: text of a batch, and remembered pieces beyond which the memory of them starts anew.
+FRUGAL_BYTES, FRUGAL_PIECES = 1 << 20, 100_000
 
 
-def _encode(file: str, end_id: int):
+def _encode(file: str, end_id: int, frugal: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = encoder_for(file), 0, TaskContext.get().partitionId()
-        for batch in balanced(batches):
+        encoder, at, part = encoder_for(file, FRUGAL_PIECES if frugal else None), 0, TaskContext.get().partitionId()
+        for batch in balanced(batches, FRUGAL_BYTES if frugal else None):
             flat, counts = encoder.ids(batch.column("text"))
             full = np.insert(flat, np.cumsum(counts), end_id).astype(np.int32)
             counts += 1
@@ -44,18 +48,21 @@ def _encode(file: str, end_id: int):
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(full))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at + ends - counts), pa.array(counts), lists], names=["doc_id", "part", "at", "n_tokens", "ids"])
             at += int(ends[-1])
+            if frugal:
+                del batch, flat, full, counts, ends, lists
+                give_back()
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, file: str = DEFAULT_FILE, end_id: int = 2, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, file: str = DEFAULT_FILE, end_id: int = 2, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, frugal: bool = False) -> None:
     bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
     ordered = rows.repartitionByRange(files, "doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash", "text").drop("row_hash")
     (
-        ordered.mapInArrow(tidy(_encode(file, end_id)), SCHEMA)
+        ordered.mapInArrow(tidy(_encode(file, end_id, frugal)), SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")

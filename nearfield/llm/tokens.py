@@ -27,6 +27,8 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 BATCH_BYTES = 4 << 20
 #: The memory of pre-tokens starts anew beyond so many pieces, ids or characters.
 MOST_PIECES, MOST_IDS, MOST_CHARS = 400_000, 4_000_000, 8_000_000
+#: Pre-tokens and other pieces that are learnt at a time, as the library's answers take many times their room.
+LEARN_PRETOKENS, LEARN_OTHERS = 16_384, 2_048
 SEGMENT = 1 << 16
 #: White space, or what some tables take for it, before a space.
 UNSAFE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}] "
@@ -61,10 +63,11 @@ def byte_characters() -> list[str]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_for(file: str) -> Encoder:
-    """One encoder for each Python worker, so that its memory of pieces serves all tasks that the worker runs."""
+def encoder_for(file: str, most_pieces: int | None = None) -> Encoder:
+    """One encoder for each Python worker, so that its memory of pieces (most_pieces, else MOST_PIECES) serves all tasks that the worker runs."""
     if file not in _ENCODERS:
         _ENCODERS[file] = Encoder(file)
+    _ENCODERS[file].most_pieces = most_pieces
     return _ENCODERS[file]
 
 
@@ -77,6 +80,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(public_tokenizers.path(file))
         self.stand_ins = dict(enumerate(byte_characters()))
+        self.most_pieces: int | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -94,17 +98,19 @@ class Encoder:
     def _pretokens(self, texts: list[str]) -> np.ndarray:
         """Rows of distinct pre-tokens, none of which holds a NUL; the empty one has no row."""
         new = [t for t in texts if t not in self.rows]
-        if new:
-            tokenize = self.library.model.tokenize
-            shown = "\0".join(new).encode().decode("latin-1").translate(self.stand_ins | {0: "\0"}).split("\0")
-            self._learn(new, [[t.id for t in tokenize(x)] for x in shown])
+        tokenize = self.library.model.tokenize
+        for at in range(0, len(new), LEARN_PRETOKENS):
+            some = new[at : at + LEARN_PRETOKENS]
+            shown = "\0".join(some).encode().decode("latin-1").translate(self.stand_ins | {0: "\0"}).split("\0")
+            self._learn(some, [[t.id for t in tokenize(x)] for x in shown])
         return np.fromiter(map(self.rows.__getitem__, texts), np.int32, len(texts))
 
     def _others(self, pieces: list[str]) -> np.ndarray:
         """Rows of pieces that the library splits itself. Their keys start with NUL, apart from pre-tokens."""
         new = [p for p in dict.fromkeys(pieces) if "\0" + p not in self.rows]
-        if new:
-            self._learn(["\0" + p for p in new], [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        for at in range(0, len(new), LEARN_OTHERS):
+            some = new[at : at + LEARN_OTHERS]
+            self._learn(["\0" + p for p in some], [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
         return np.fromiter((self.rows["\0" + p] for p in pieces), np.int32, len(pieces))
 
     def _parts(self, pieces: pa.Array) -> np.ndarray:
@@ -125,7 +131,7 @@ class Encoder:
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all the texts' pre-tokens, and how many each text has."""
-        if len(self.rows) > MOST_PIECES or len(self.flat) > MOST_IDS or self.chars > MOST_CHARS:
+        if len(self.rows) > (self.most_pieces or MOST_PIECES) or len(self.flat) > MOST_IDS or self.chars > MOST_CHARS:
             self._forget()
         lists = pc.split_pattern(pc.replace_substring_regex(texts, SINGLE_LINE_END, rf"\1 {LINE}\2"), " ")
         sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)

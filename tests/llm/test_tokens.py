@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -88,6 +90,65 @@ def test_output_roundtrip(spark, library, tmp_path, source):
     assert got == want
 
 
+def test_learning_in_parts(library, monkeypatch):
+    """What the library answers with at a time is bounded, whatever a batch brings."""
+    seen = []
+    learn = Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, keys, got: (seen.append(len(keys)), learn(self, keys, got)))
+    monkeypatch.setattr("nearfield.llm.tokens.LEARN_PRETOKENS", 7)
+    monkeypatch.setattr("nearfield.llm.tokens.LEARN_OTHERS", 3)
+    texts = [*strange(80), " ".join(chr(97 + i) * 3 for i in range(26))]
+    flat, _ = Encoder(FILE).ids(pa.array(texts))
+    assert flat.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert max(seen) == 7 and len(seen) > 20
+
+
+FRUGAL = r"""
+import random, re, sys, threading, time
+from types import SimpleNamespace
+import pyarrow as pa
+from nearfield.llm import token_output
+token_output.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+rng = random.Random(5)
+letters = "abcdefghijklmnopqrstuvwxyz"
+def batches():
+    for i in range(40):
+        yield pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([" ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(700)) for _ in range(100)])], names=["doc_id", "text"])
+made = list(batches())
+def now():
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+base, peak, over = now(), [0], []
+def watch():
+    while not over:
+        peak[0] = max(peak[0], now())
+        time.sleep(0.02)
+watcher = threading.Thread(target=watch)
+watcher.start()
+rows = sum(b.num_rows for b in token_output._encode(token_output.DEFAULT_FILE, 2, frugal=sys.argv[1] == "frugal")(iter(made)))
+over.append(1)
+watcher.join()
+print(rows, round(peak[0] - base))
+"""
+
+
+def test_frugal_output_takes_less_memory():
+    """20 MB of mostly new words: an encoder with large batches takes over 250 MB."""
+    run = subprocess.run([sys.executable, "-c", FRUGAL, "frugal"], capture_output=True, text=True, timeout=300)
+    rows, grown = map(int, run.stdout.split())
+    assert rows == 4000 and grown < 150
+
+
+def test_frugal_output_is_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "FRUGAL_BYTES", 1 << 12)
+    monkeypatch.setattr(token_output, "FRUGAL_PIECES", 50)
+    docs = spark.createDataFrame([*enumerate(strange(60)), (900, None), (900, "again")], "doc_id long, text string")
+    read = []
+    for frugal in (False, True):
+        token_output.write_tokens(docs, f"{tmp_path}/{frugal}", frugal=frugal)
+        read.append(token_output.read_tokens(spark, f"{tmp_path}/{frugal}").orderBy("start").collect())
+    assert read[0] == read[1] and len(read[0]) == 72
+
+
 def test_file_format(spark, tmp_path):
     path = f"{tmp_path}/ids"
     token_output.write_tokens(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), path, row_group_bytes=1 << 18, page_bytes=1 << 14)
